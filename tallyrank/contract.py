@@ -35,6 +35,7 @@ RISK_ACTIONS = {
 # Latency rating bands in milliseconds (mean, single call).
 MEAN_LATENCY_BANDS = [(20.0, "excellent"), (50.0, "good"), (100.0, "acceptable")]
 CALL_LATENCY_BANDS = [(50.0, "excellent"), (100.0, "good")]
+LATENCY_REST = "needs improvement"
 RATE_LIMIT_PER_MINUTE = 100
 
 SEED = 42

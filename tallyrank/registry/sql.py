@@ -127,7 +127,8 @@ VIEWS = {
         CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events"""),
     "reqs": ([], """
       SELECT c_custkey AS request_id, c_custkey AS user_id,
-        CASE WHEN c_custkey % 10 <> 0 THEN split_part(p_name, ' ', 1) END AS query,
+        CASE WHEN c_custkey % 10 <> 0 THEN split_part(p_name, ' ', 1)
+          || CASE WHEN c_custkey % 3 = 0 THEN ' ' || p_type ELSE '' END END AS query,
         CASE WHEN c_custkey % 4 = 1 THEN p_type END AS category,
         CAST(1 + c_custkey % 3 AS INTEGER) AS page, 10 AS page_size,
         c_custkey % (SELECT count(*) FROM embeddings) AS query_vec_id,

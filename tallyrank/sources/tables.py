@@ -192,20 +192,23 @@ def image_vectors(spark: SparkSession, root: str) -> DataFrame:
 def requests(spark: SparkSession, root: str) -> DataFrame:
     """One recommendation request per customer.
 
-    The query is the first word of the matching part name, absent for every
-    tenth customer; every fourth asks within one category.
+    The query is the first word of the matching part name, with the part type
+    added for every third customer and absent for every tenth; every fourth asks
+    within one category.
     """
     customer = table(spark, root, "customer")
     part = table(spark, root, "part")
     n_vectors = table(spark, root, "embeddings").agg(F.count("*").alias("n"))
     key = F.col("c_custkey")
+    word = F.get(F.split("p_name", " "), F.lit(0))
+    words = F.when(key % 3 == 0, F.concat_ws(" ", word, "p_type")).otherwise(word)
     return (
         customer.join(part, customer.c_custkey == part.p_partkey, "left")
         .withColumn("n_vectors", n_vectors.scalar())
         .select(
             key.alias("request_id"),
             key.alias("user_id"),
-            F.when(key % 10 != 0, F.get(F.split("p_name", " "), F.lit(0))).alias("query"),
+            F.when(key % 10 != 0, words).alias("query"),
             F.when(key % 4 == 1, F.col("p_type")).alias("category"),
             (F.lit(1) + key % 3).cast("int").alias("page"),
             F.lit(10).alias("page_size"),
