@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 
 from tallyrank.functions.numeric import ratio
 
@@ -81,3 +82,29 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(
         "label", "records", ratio(t["n"], t["k"] * F.col("records")).alias("weight")
     )
+
+
+def vector_state(df: DataFrame, vec: str = "x") -> DataFrame:
+    """Mean and population deviation per vector position, from one summary pass."""
+    summary = Summarizer.metrics("mean", "std", "count").summary(array_to_vector(F.col(vec)))
+    found = df.agg(summary.alias("s")).select(
+        vector_to_array("s.mean").alias("mean"),
+        vector_to_array("s.std").alias("std"),
+        F.col("s.count").cast("double").alias("n"),
+    )
+    # The summary divides by n - 1.
+    spread = F.transform("std", lambda v: v * F.sqrt((F.col("n") - 1) / F.col("n")))
+    return found.select(
+        F.struct(
+            "mean", F.transform(spread, lambda v: F.when(v == 0, 1.0).otherwise(v)).alias("scale")
+        ).alias("state")
+    )
+
+
+def scale_vector(df: DataFrame, state: DataFrame, vec: str = "x") -> DataFrame:
+    fitted = state.scalar()
+    held = df.withColumns({"_mean": fitted["mean"], "_scale": fitted["scale"]})
+    scaled = F.transform(
+        vec, lambda v, i: (v - F.get(F.col("_mean"), i)) / F.get(F.col("_scale"), i)
+    )
+    return held.withColumn(vec, scaled).drop("_mean", "_scale")
