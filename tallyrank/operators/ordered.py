@@ -10,14 +10,15 @@ Three tools, all built on a first pass that counts rows by a coarse bucket:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyrank.functions.hashing import HASH_BITS
 
 BUCKET_BITS = 16
-# A label column may hold this many classes; beyond that it is not a label.
-MAX_CLASSES = 1000
+# Classes times wanted ranks; a column with more than that is not a label.
+MAX_EDGES = 400
 
 
 def order_points(
@@ -28,7 +29,7 @@ def order_points(
     ``ranks`` is an array column over ``total``, the rows of the label.  One
     pass counts rows per (label, hash bucket); only rows of the few buckets
     holding a wanted rank are then ordered, so the data itself never moves.
-    Returns ``{label: [key or None, ...]}``, at most ``MAX_CLASSES`` entries.
+    Returns ``{label: {index of the rank: key}}``, at most ``MAX_EDGES`` keys.
     """
     bucket = F.shiftright(F.col(hash_col), HASH_BITS - BUCKET_BITS)
     keyed = df.select(label, F.col(hash_col).alias("_h"), *ties, bucket.alias("_b"))
@@ -44,24 +45,28 @@ def order_points(
         .filter((F.col("_before") < F.col("_r")) & (F.col("_r") <= F.col("_before") + F.col("_c")))
         .select(label, "_b", "_i", (F.col("_r") - F.col("_before")).alias("_rest"))
     )
-    found = edges.limit(MAX_CLASSES * 16).collect()
+    found = edges.limit(MAX_EDGES + 1).collect()
+    if len(found) > MAX_EDGES:
+        raise ValueError(f"{label} has too many classes for a label column")
     out: dict = {}
     if not found:
         return out
-    if len({r[0] for r in found}) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(found, edges.schema)
-    order = W.partitionBy(label, "_b").orderBy("_h", *ties)
-    hits = (
-        keyed.join(F.broadcast(wanted.select(label, "_b").distinct()), [label, "_b"], "left_semi")
-        .withColumn("_rn", F.row_number().over(order))
-        .join(F.broadcast(wanted), [label, "_b"])
-        .filter(F.col("_rn") == F.col("_rest"))
-        .select(label, "_i", "_h", *ties)
+
+    def at(r) -> Column:
+        return (F.col(label) == F.lit(r[label])) & (F.col("_b") == F.lit(r["_b"]))
+
+    spots = {(r[label], r["_b"]): r for r in found}
+    in_edge = reduce(lambda a, b: a | b, [at(r) for r in spots.values()])
+    is_hit = reduce(
+        lambda a, b: a | b, [at(r) & (F.col("_rn") == F.lit(r["_rest"])) for r in found]
     )
-    for row in hits.collect():
-        out.setdefault(row[0], {})[row["_i"]] = tuple(row)[2:]
+    order = W.partitionBy(label, "_b").orderBy("_h", *ties)
+    hits = keyed.filter(in_edge).withColumn("_rn", F.row_number().over(order)).filter(is_hit)
+    keys = {
+        (r[label], r["_b"], r["_rn"]): tuple(r[c] for c in ["_h", *ties]) for r in hits.collect()
+    }
+    for r in found:
+        out.setdefault(r[label], {})[r["_i"]] = keys[(r[label], r["_b"], r["_rest"])]
     return out
 
 

@@ -93,8 +93,8 @@ def fit_boosted(balanced: DataFrame, s: Settings, validation: str | None = None)
     )
     if validation:
         # Zero tolerance: stop only once the held-out loss gets worse.
+        gbt.set(gbt.validationTol, 0.0)
         gbt = gbt.setValidationIndicatorCol(validation)
-        gbt = gbt.set(gbt.validationTol, 0.0)
     return gbt.fit(balanced)
 
 

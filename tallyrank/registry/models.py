@@ -257,7 +257,7 @@ def training_history(spark, root):
     """Loss by iteration: logistic objective, boosted loss on the test rows."""
     run = _run(spark, root)
     loss = run.logistic.summary.objectiveHistory
-    boosted = run.boosted.evaluateEachIteration(tr.with_features(run.test), "logistic")
+    boosted = run.boosted.evaluateEachIteration(tr.with_features(run.test))
     rows = [("logistic_regression", i, float(v)) for i, v in enumerate(loss)]
     rows += [("xgboost", i, float(v)) for i, v in enumerate(boosted)]
     return spark.createDataFrame(rows, "model string, iteration int, loss double")
