@@ -76,23 +76,24 @@ def normalize_product(products: DataFrame) -> DataFrame:
     )
 
 
-def product_factors(products: DataFrame) -> DataFrame:
+def product_factors(products: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """Popularity, recency, price and stock scores, one row per product.
 
     The maxima are one scalar subquery; price bounds are per category and come
     from a map-side aggregate, not from a window over a category's products.
+    ``catalogue`` gives category and price without the cost of the sales facts.
     """
     totals = products.agg(
         F.struct(
-            F.max("reviews_count").alias("reviews"), F.max("created_at").alias("newest")
+            F.max("reviews_count").alias("reviews"),
+            F.max(epoch_seconds("created_at")).alias("newest"),
         ).alias("t")
     )
-    newest = totals.select(epoch_seconds("t.newest").alias("s"))
-    bounds = products.groupBy("category").agg(
+    bounds = (products if catalogue is None else catalogue).groupBy("category").agg(
         F.min("price").alias("low"), F.max("price").alias("high")
     )
     most = totals.scalar()["reviews"].cast("double")
-    age_days = (newest.scalar() - epoch_seconds("created_at")).cast("double") / F.lit(86400.0)
+    age_days = (totals.scalar()["newest"] - epoch_seconds("created_at")).cast("double") / F.lit(86400.0)
     popularity = F.lit(0.6) * F.col("rating") / F.lit(5.0) + F.lit(0.4) * ratio(
         F.log(F.lit(1.0) + F.col("reviews_count")), F.log(F.lit(1.0) + most)
     )

@@ -40,7 +40,9 @@ def user_profiles(history: DataFrame, products: DataFrame) -> DataFrame:
     return own.join(category, "user_id", "left").join(brand, "user_id", "left")
 
 
-def product_features(products: DataFrame, text: DataFrame, image: DataFrame) -> DataFrame:
+def product_features(
+    products: DataFrame, catalogue: DataFrame, text: DataFrame, image: DataFrame
+) -> DataFrame:
     """Facts, factor scores and vectors of every product, one row each."""
     t = catalog.with_norms(text).select(
         "product_id", F.col("vec").alias("text_vec"), F.col("len").alias("text_len")
@@ -49,7 +51,7 @@ def product_features(products: DataFrame, text: DataFrame, image: DataFrame) ->
         "product_id", F.col("vec").alias("image_vec"), F.col("len").alias("image_len")
     )
     return (
-        catalog.product_factors(products)
+        catalog.product_factors(products, catalogue)
         .join(t, "product_id", "left")
         .join(i, "product_id", "left")
     )
@@ -96,19 +98,25 @@ def component_scores(
     text: DataFrame,
     image: DataFrame,
     known: DataFrame | None = None,
+    catalogue: DataFrame | None = None,
 ) -> DataFrame:
     """One row per request and candidate with its five component scores.
 
+    ``catalogue`` holds the product attributes without the sales facts, which
+    searching and preferences do not need.
+
     ``known`` is a stored (user_id, product_id, score) table; without it the
     scores come from all interactions.
     """
+    if catalogue is None:
+        catalogue = products.select("product_id", "name", "category", "brand", "price")
     if known is None:
         known = pref.collaborative_scores(pref.user_product_affinity(feed))
-    profiles = user_profiles(catalog.recent_interactions(feed), products)
+    profiles = user_profiles(catalog.recent_interactions(feed), catalogue)
     asked = request_features(requests, text, text).join(profiles, "user_id", "left")
     rows = (
-        catalog.candidates(requests, products)
-        .join(product_features(products, text, image), "product_id")
+        catalog.candidates(requests, catalogue)
+        .join(product_features(products, catalogue, text, image), "product_id")
         .join(asked.drop("category"), "request_id")
         .withColumns({
             "text": text_similarity(),
@@ -136,7 +144,7 @@ def score_chain(components: DataFrame) -> DataFrame:
     scored = scored.withColumn("multi", F.round(ranking.multi_factor_score("combined"), PLACES))
     # One shuffle by request serves the diversity, bounds and rank windows.
     scored = ranking.diversity_penalty(scored.repartition("request_id"), "multi")
-    return scored.withColumn("diverse", F.round("diverse_score", PLACES)).drop("diverse_score")
+    return scored.withColumnRenamed("diverse_score", "diverse")
 
 
 def recommend(components: DataFrame) -> DataFrame:

@@ -94,8 +94,8 @@ VIEWS.update({
         LEFT JOIN hcategory hc ON hc.user_id = r.user_id AND hc.category = p.category
         LEFT JOIN hbrand hb ON hb.user_id = r.user_id AND hb.brand = p.brand"""),
     "chain": (["comp"], f"""
-      SELECT *, round(CASE WHEN n > 5 THEN multi * (1 - {d(DIVERSITY_ALPHA)} * (r - 1) / r)
-          ELSE multi END, 9) AS diverse
+      SELECT *, CASE WHEN n > 5 THEN multi * (1 - {d(DIVERSITY_ALPHA)} * (r - 1) / r)
+          ELSE multi END AS diverse
       FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS n,
               CAST(row_number() OVER (PARTITION BY request_id, category
                 ORDER BY multi DESC, product_id) AS DOUBLE) AS r
@@ -121,6 +121,7 @@ def _inputs(spark, root):
         feed=tables.valid_interactions(spark, root),
         text=tables.text_vectors(spark, root),
         image=tables.image_vectors(spark, root),
+        catalogue=tables.catalogue(spark, root),
     )
 
 
@@ -136,7 +137,7 @@ def _components(spark, root):
   WHERE list_contains(string_split(lower(name), ' '), 'red') AND category = 'ECONOMY'
   ORDER BY product_id OFFSET 5 LIMIT 20"""))
 def product_page(spark, root):
-    page = catalog.product_page(tables.products(spark, root), 5, 20, "red", "ECONOMY")
+    page = catalog.product_page(tables.catalogue(spark, root), 5, 20, "red", "ECONOMY")
     return page.select("product_id", "name", "category")
 
 
@@ -155,7 +156,7 @@ def products_by_ids(spark, root):
     ids = tables.table(spark, root, "lineitem").filter("l_quantity = 50").select(
         F.col("l_partkey").alias("product_id")
     )
-    found = catalog.products_by_ids(tables.products(spark, root), ids)
+    found = catalog.products_by_ids(tables.catalogue(spark, root), ids)
     return found.select("product_id", "name", "brand", "price")
 
 
@@ -200,7 +201,7 @@ def normalize_product(spark, root):
 
 @query("candidates", with_views("cand", "SELECT * FROM cand"))
 def candidates(spark, root):
-    return catalog.candidates(tables.requests(spark, root), tables.products(spark, root))
+    return catalog.candidates(tables.requests(spark, root), tables.catalogue(spark, root))
 
 
 @query("normalize_query", with_views("reqs", "SELECT request_id, lower(query) AS query FROM reqs"))
@@ -244,14 +245,14 @@ def _prefs_sql(field: str) -> str:
 @query("user_category_prefs", _prefs_sql("category"))
 def user_category_prefs(spark, root):
     affinity = pref.user_product_affinity(tables.valid_interactions(spark, root))
-    out = pref.category_preferences(affinity, tables.products(spark, root))
+    out = pref.category_preferences(affinity, tables.catalogue(spark, root))
     return out.withColumn("preference", rounded("preference"))
 
 
 @query("user_brand_prefs", _prefs_sql("brand"))
 def user_brand_prefs(spark, root):
     affinity = pref.user_product_affinity(tables.valid_interactions(spark, root))
-    out = pref.brand_preferences(affinity, tables.products(spark, root))
+    out = pref.brand_preferences(affinity, tables.catalogue(spark, root))
     return out.withColumn("preference", rounded("preference"))
 
 
@@ -262,7 +263,7 @@ def user_brand_prefs(spark, root):
   FROM affinity JOIN products USING (product_id) GROUP BY user_id"""))
 def user_price_pref(spark, root):
     affinity = pref.user_product_affinity(tables.valid_interactions(spark, root))
-    out = pref.price_preference(affinity, tables.products(spark, root))
+    out = pref.price_preference(affinity, tables.catalogue(spark, root))
     return out.withColumns({c: rounded(c, 4) for c in ("mean_price", "price_deviation")})
 
 
@@ -275,7 +276,7 @@ def user_price_pref(spark, root):
     LEFT JOIN hcategory hc ON hc.user_id = r.user_id AND hc.category = p.category
     LEFT JOIN hbrand hb ON hb.user_id = r.user_id AND hb.brand = p.brand"""))
 def interaction_boost(spark, root):
-    products = tables.products(spark, root)
+    products = tables.catalogue(spark, root)
     reqs = tables.requests(spark, root)
     pairs = (
         catalog.candidates(reqs, products)
@@ -293,7 +294,7 @@ def interaction_boost(spark, root):
     AND i.product_id = c.product_id)"""))
 def unseen_candidates(spark, root):
     reqs = tables.requests(spark, root)
-    pairs = catalog.candidates(reqs, tables.products(spark, root)).join(
+    pairs = catalog.candidates(reqs, tables.catalogue(spark, root)).join(
         reqs.select("request_id", "user_id"), "request_id"
     )
     out = pref.unseen(pairs, tables.valid_interactions(spark, root))
@@ -306,7 +307,7 @@ _FACTORS = ["popularity_score", "recency_score", "price_score", "stock_score"]
 @query("product_factor_scores", with_views("factors", f"""
   SELECT product_id, {", ".join(f"{R(c)} AS {c}" for c in _FACTORS)} FROM factors"""))
 def product_factor_scores(spark, root):
-    out = catalog.product_factors(tables.products(spark, root))
+    out = catalog.product_factors(tables.products(spark, root), tables.catalogue(spark, root))
     return out.select("product_id", *[rounded(c).alias(c) for c in _FACTORS])
 
 
@@ -316,7 +317,7 @@ def product_factor_scores(spark, root):
 def _chain(column: str):
     def run(spark, root):
         rows = plan.score_chain(_components(spark, root))
-        return rows.select("request_id", "product_id", rounded(column, plan.PLACES).alias(column))
+        return rows.select("request_id", "product_id", column)
 
     return run
 
@@ -327,16 +328,16 @@ for _name, _column in {
     "diversity_penalty": "diverse",
 }.items():
     query(_name, with_views("chain", f"""
-      SELECT request_id, product_id, {R(_column, plan.PLACES)} AS {_column} FROM chain"""))(_chain(_column))
+      SELECT request_id, product_id, {_column} FROM chain"""))(_chain(_column))
 
 
 @query("top_k_recommendations", with_views("ranked", f"""
-  SELECT request_id, "rank", product_id, {R("diverse", plan.PLACES)} AS score FROM ranked"""))
+  SELECT request_id, "rank", product_id, diverse AS score FROM ranked"""))
 def top_k_recommendations(spark, root):
     scored = plan.score_chain(_components(spark, root))
     top = ranking.top_k(scored, "diverse", "page_size")
     return top.select(
-        "request_id", "rank", "product_id", rounded("diverse", plan.PLACES).alias("score")
+        "request_id", "rank", "product_id", F.col("diverse").alias("score")
     )
 
 
@@ -445,7 +446,7 @@ def recommendation_log(spark, root):
   GROUP BY product_id, name ORDER BY weight DESC, product_id LIMIT 20"""))
 def trending(spark, root):
     out = popularity.trending(
-        tables.valid_interactions(spark, root), tables.products(spark, root)
+        tables.valid_interactions(spark, root), tables.catalogue(spark, root)
     )
     return out.select("product_id", "name", "weight", "events")
 
@@ -456,7 +457,7 @@ def trending(spark, root):
   WHERE ts > (SELECT max(ts) FROM inter) - INTERVAL 720 HOURS
   GROUP BY product_id, name ORDER BY score DESC, product_id LIMIT 20"""))
 def popular(spark, root):
-    factors = catalog.product_factors(tables.products(spark, root))
+    factors = catalog.product_factors(tables.products(spark, root), tables.catalogue(spark, root))
     out = popularity.popular(tables.valid_interactions(spark, root), factors)
     return out.select("product_id", "name", "score", "events")
 

@@ -118,6 +118,18 @@ def scores(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def catalogue(spark: SparkSession, root: str) -> DataFrame:
+    """What a product is, without its sales: no pass over the order lines."""
+    return table(spark, root, "part").select(
+        F.col("p_partkey").alias("product_id"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("category"),
+        F.col("p_brand").alias("brand"),
+        F.col("p_retailprice").alias("price"),
+        F.col("p_size").alias("stock"),
+    )
+
+
 def products(spark: SparkSession, root: str) -> DataFrame:
     """Product facts: one row per part with its sales aggregates."""
     sales = (
@@ -130,21 +142,18 @@ def products(spark: SparkSession, root: str) -> DataFrame:
             F.min("l_shipdate").alias("created_at"),
         )
     )
-    part = table(spark, root, "part")
     discount = ratio(F.col("discount_points"), F.col("reviews_count") * 100)
-    return part.join(sales, part.p_partkey == sales.product_id, "left").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("name"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("brand"),
-        F.col("p_retailprice").alias("price"),
-        F.round(F.col("p_retailprice") * (1 - F.coalesce(discount, F.lit(0.0))), 2).alias(
-            "discount_price"
-        ),
-        F.col("p_size").alias("stock"),
+    return catalogue(spark, root).join(sales, "product_id", "left").select(
+        "product_id",
+        "name",
+        "category",
+        "brand",
+        "price",
+        F.round(F.col("price") * (1 - F.coalesce(discount, F.lit(0.0))), 2).alias("discount_price"),
+        "stock",
         (F.lit(1.0) + F.lit(4.0) * (1 - ratio("returned", "reviews_count"))).alias("rating"),
         F.coalesce("reviews_count", F.lit(0)).alias("reviews_count"),
-        F.col("created_at"),
+        "created_at",
     )
 
 
