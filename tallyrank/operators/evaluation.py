@@ -1,8 +1,9 @@
 """Confusion counts, curves, areas and threshold search per model.
 
 Input is the long score table ``(model, y, p)``.  Everything but the curves is
-an aggregate with map-side combine; the curves work on one row per distinct
-score (``operators.ordered.prefix_sums``).
+an aggregate with map-side combine.  The curves work on one row per distinct
+score: that table is written once to the shared folder, since its running totals
+read it twice, and the scores themselves are read and computed only once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyrank.functions.numeric import ratio
 from tallyrank.operators.ordered import bucket_of, prefix_sums, range_cuts
+from tallyrank.session import materialize
 
 CONFUSION = ["true_negatives", "false_positives", "false_negatives", "true_positives"]
 
@@ -69,7 +71,27 @@ def score_counts(scored: DataFrame) -> DataFrame:
     )
 
 
-def score_bucket(scored: DataFrame, decimals: int | None) -> Column:
+def counted(scored: DataFrame) -> DataFrame:
+    """The score counts, stored."""
+    return materialize(score_counts(scored), "score-counts")
+
+
+def confusion_of_counts(counts: DataFrame, cut: float = 0.5) -> DataFrame:
+    """As ``confusion``, from one row per distinct score."""
+    hit = F.col("p") > F.lit(cut)
+
+    def total(name: str, test: Column) -> Column:
+        return F.sum(F.when(test, F.col(name)).otherwise(F.lit(0)))
+
+    return counts.groupBy("model").agg(
+        total("neg", ~hit).alias("true_negatives"),
+        total("neg", hit).alias("false_positives"),
+        total("pos", ~hit).alias("false_negatives"),
+        total("pos", hit).alias("true_positives"),
+    )
+
+
+def score_bucket(counts: DataFrame, decimals: int | None) -> Column:
     """Coarse bucket of ``p``.
 
     Scores kept to ``decimals`` places have at most ``10^decimals + 1`` distinct
@@ -78,20 +100,29 @@ def score_bucket(scored: DataFrame, decimals: int | None) -> Column:
     """
     if decimals is not None:
         return F.floor(F.col("p") * F.lit(float(10 ** (decimals // 2)))).cast("int")
-    return bucket_of(F.col("p"), range_cuts(scored, "p"))
+    return bucket_of(F.col("p"), range_cuts(counts, "p"))
 
 
-def cumulated(scored: DataFrame, decimals: int | None = None, descending: bool = True) -> DataFrame:
-    """Distinct scores with running positives and negatives."""
-    counts = score_counts(scored).withColumn("one", F.lit(1).cast("bigint"))
+def running(counts: DataFrame, decimals: int | None = None, descending: bool = True) -> DataFrame:
+    """Running totals over stored score counts."""
+    rows = counts.withColumn("one", F.lit(1).cast("bigint"))
     return prefix_sums(
-        counts, "model", "p", ["pos", "neg", "one"], score_bucket(scored, decimals), descending
+        rows, "model", "p", ["pos", "neg", "one"], score_bucket(counts, decimals), descending
     )
 
 
+def cumulated(scored: DataFrame, decimals: int | None = None, descending: bool = True) -> DataFrame:
+    """Distinct scores with running positives and negatives."""
+    return running(counted(scored), decimals, descending)
+
+
 def roc_auc(scored: DataFrame, decimals: int | None = None) -> DataFrame:
     """Exact area: pairs won, ties as half; null when only one class occurs."""
-    c = cumulated(scored, decimals, descending=False)
+    return area_of_counts(counted(scored), decimals)
+
+
+def area_of_counts(counts: DataFrame, decimals: int | None = None) -> DataFrame:
+    c = running(counts, decimals, descending=False)
     below = F.col("cum_neg") - F.col("neg")
     won = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0)))
     pairs = F.max("all_pos").cast("double") * F.max("all_neg")
@@ -118,7 +149,7 @@ def roc_curve(scored: DataFrame, decimals: int | None = None) -> DataFrame:
         ratio("cum_pos", "all_pos").alias("tpr"),
     )
     origin = _start(
-        scored, threshold=F.lit(float("inf")), fpr=F.lit(0.0), tpr=F.lit(0.0)
+        points, threshold=F.lit(float("inf")), fpr=F.lit(0.0), tpr=F.lit(0.0)
     )
     return points.unionByName(origin)
 
@@ -135,13 +166,14 @@ def pr_points(scored: DataFrame, decimals: int | None = None) -> DataFrame:
 
 def pr_curve(scored: DataFrame, decimals: int | None = None) -> DataFrame:
     """Precision-recall points with the closing point (recall 0, precision 1)."""
+    points = pr_points(scored, decimals)
     end = _start(
-        scored,
+        points,
         threshold=F.lit(None).cast("double"),
         precision=F.lit(1.0),
         recall=F.lit(0.0),
     )
-    return pr_points(scored, decimals).unionByName(end)
+    return points.unionByName(end)
 
 
 def pr_auc(scored: DataFrame, decimals: int | None = None) -> DataFrame:
@@ -163,9 +195,10 @@ def pr_auc(scored: DataFrame, decimals: int | None = None) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, cut: float = 0.5, decimals: int | None = None) -> DataFrame:
-    """Five headline metrics per model."""
-    rates = with_rates(confusion(scored, cut))
-    return rates.join(roc_auc(scored, decimals), "model").select(
+    """Five headline metrics per model, all from one pass over the scores."""
+    counts = counted(scored)
+    rates = with_rates(confusion_of_counts(counts, cut))
+    return rates.join(area_of_counts(counts, decimals), "model").select(
         "model", "accuracy", "precision", "recall", "f1", "roc_auc"
     )
 

@@ -116,7 +116,9 @@ def prefix_sums(
     ``cum_<t>`` (this row included) and ``all_<t>`` (whole group).
     """
     way = F.desc if descending else F.asc
-    binned = df.withColumn("_b", bucket)
+    # The filter the join below would add to one side only; on both sides it keeps
+    # the two uses of the input alike, so its shuffle is computed once.
+    binned = df.withColumn("_b", bucket).filter(F.col(group).isNotNull() & F.col("_b").isNotNull())
     by_group = W.partitionBy(group)
     before = by_group.orderBy(way("_b")).rowsBetween(W.unboundedPreceding, W.currentRow)
     bins = binned.groupBy(group, "_b").agg(*[F.sum(t).alias(f"_s_{t}") for t in totals])
