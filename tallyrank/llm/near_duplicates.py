@@ -8,6 +8,9 @@ coordinates propose pairs and the full shingle sets decide them.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,9 +23,13 @@ from tallyrank.session import materialize
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
-#: Of 128 one-bit coordinates, how many may differ before a pair is not looked at:
-#: at a similarity of 0.75 that happens once in a million pairs.
-SKETCH_DIFFERENCES = 34
+#: Coordinates of a signature; four bits of each are its sketch, in four planes of bits.
+COORDINATES = 256
+#: Members of a bucket that its other members are first held against.
+HUBS = 3
+#: Standard deviations above the mean of a sketch's differences at the least
+#: similarity; about one link in a million is beyond.
+SPREAD = 4.8
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -36,7 +43,7 @@ def _second(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def signature(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
     """The circulant MinHash coordinates of a set of 64-bit shingles."""
     places = (words.mix(shingles ^ _FIRST) >> np.uint64(32)).astype(np.uint32)
     turns = np.arange(1, size + 1, dtype=np.uint32)[:, None]
@@ -49,36 +56,37 @@ def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
 def _signed(width: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            ids, sizes, classes, keys, first, second = [], [], [], [], [], []
+            ids, sizes, classes, keys, sketches = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 s = words.shingles(text.as_py(), width)
-                sig = signature(s, bands * rows)
+                sig = signature(s)
                 band = np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
-                    band = words.mix(band + (sig[r::rows].astype(np.uint64) << np.uint64(8)) + np.uint64(r))
-                bits = np.packbits((sig[:128] & 1).astype(np.uint8)).tobytes().ljust(16, b"\0")
+                    band = words.mix(band + (sig[r:bands * rows:rows].astype(np.uint64) << np.uint64(8)) + np.uint64(r))
                 ids.append(doc)
                 sizes.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(band.view(np.int64))
-                first.append(int.from_bytes(bits[:8], "little", signed=True))
-                second.append(int.from_bytes(bits[8:], "little", signed=True))
+                planes = [np.packbits((sig >> np.uint32(p) & np.uint32(1)).astype(np.uint8)) for p in range(4)]
+                sketches.append(np.concatenate(planes).view(np.int64))
             if ids:
-                flat = pa.array(np.concatenate(keys))
+                def lists(of):
+                    ends = np.arange(len(of) + 1, dtype=np.int32) * len(of[0])
+                    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(of)))
+
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), flat),
-                    pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                ], ["doc_id", "n_shingles", "class", "bands", "bits1", "bits2"])
+                    lists(keys), lists(sketches),
+                ], ["doc_id", "n_shingles", "class", "bands", "sketch"])
 
     return run
 
 
 def signed(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: set size, 128-bit name of its set, band keys, one-bit sketch."""
+    """One row per document: set size, 128-bit name of its set, band keys, sketch."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _signed(width, bands, rows),
-        "doc_id long, n_shingles long, class binary, bands array<long>, bits1 long, bits2 long")
+        "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>")
 
 
 def _sets(width: int):
@@ -111,11 +119,23 @@ def _confirmed(percent: int):
     return run
 
 
-def _alike(a, b, percent: int, bits: int):
-    """Pairs that can still reach the similarity, by set sizes and one-bit sketches."""
-    smaller, larger = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("bits1", "bits2")), F.lit(0))
-    return (100 * smaller >= percent * larger) & (apart <= bits)
+def _alike(a: str, b: str, percent: int):
+    """Pairs that can still reach the similarity, by what they may share and by sketches.
+
+    ``most`` of a side is an upper bound of what it has in common with any other set.
+    Four bits of a coordinate differ for 15 of 16 unequal coordinates.
+    """
+    q = (1 - percent / 100) * 15 / 16
+    most = int(COORDINATES * q + SPREAD * math.sqrt(COORDINATES * q * (1 - q)))
+    words_of_plane = COORDINATES // 64
+    apart = F.lit(0)
+    for w in range(words_of_plane):
+        unequal = [F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])
+                   for i in range(w, 4 * words_of_plane, words_of_plane)]
+        apart = apart + F.bit_count(functools.reduce(lambda x, y: x.bitwiseOR(y), unequal))
+    both = F.least(f"{a}.most", f"{b}.most")
+    reach = both * (100 + percent) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    return reach & (apart <= most)
 
 
 class _Checker:
@@ -125,13 +145,16 @@ class _Checker:
         self.texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.nodes, self.width, self.percent = nodes, width, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.nodes.select("node", "doc_id", "class").join(wanted, "node")
-        # A document met in several equal rows is taken once.
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        wanted = self.nodes.select("node", "doc_id", "class").join(wanted.distinct(), "node")
         held = self.texts.join(wanted, self.texts["doc_id"].eqNullSafe(wanted["doc_id"]))
         held = held.select("node", "class", "text").mapInArrow(_sets(self.width), "node long, shingles binary")
-        held = materialize(held.dropDuplicates(["node"]) if self.repeated() else held, "shingles")
+        # A document met in several equal rows is taken once.
+        return materialize(held.dropDuplicates(["node"]) if self.repeated() else held, "shingles")
+
+    def links(self, pairs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+        if held is None:
+            held = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         left = held.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
         right = held.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
         # The hub of many pairs first, on bare pairs; then the sets travel by the other side.
@@ -146,6 +169,39 @@ class _Checker:
         return self._repeated
 
 
+def _listed(batches):
+    for batch in batches:
+        nodes, sets = batch.column("node").to_numpy(), [x.as_buffer() for x in batch.column("shingles")]
+        for i in range(0, len(sets), 256):
+            part = [np.frombuffer(x, np.int64) for x in sets[i:i + 256]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(nodes[i:i + 256], [len(x) for x in part])), pa.array(np.concatenate(part))],
+                ["node", "shingle"])
+
+
+def _across(shared: DataFrame, named: DataFrame, sketch: DataFrame, checker: _Checker) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different components in a bucket, but for two of its largest one, and their sets."""
+    member = shared.select("key", "node").join(named, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component"))
+    member = materialize(member, "members")
+    counts = member.groupBy("key", "component").count()
+    main = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"),
+                                     F.count("*").alias("parts")).where("parts > 1")
+    rest = materialize(member.join(main.select("key", F.col("top.component").alias("main")), "key"), "apart")
+    # A shingle that no other of these sets has can't be in common.
+    held = checker.sets(rest.select("node"))
+    own = held.mapInArrow(_listed, "node long, shingle long").groupBy("shingle").agg(
+        F.min("node").alias("node"), F.count("*").alias("sets")).where("sets = 1")
+    own = own.groupBy("node").agg(F.count("*").alias("own"))
+    bound = sketch.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    bound = bound.join(rest.select("node").distinct(), "node").where(100 * F.col("most") >= checker.percent * F.col("n"))
+    rest = rest.join(bound, "node")
+    odd, rest = rest.where("component <> main").alias("x"), rest.alias("y")
+    cross = odd.join(rest, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+                     & _alike("x", "y", checker.percent))
+    return cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), held
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, class`` for every row of ``docs``.
@@ -157,51 +213,40 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     A null ``doc_id`` takes part; a component of nothing else has a null name and
     its rows are kept.  Other columns of ``docs`` play no part; no rows give none.
 
-    Each bucket of equal band keys first links its members to one of them, so a
-    bucket of any size costs its size.  Only members that are then still in another
-    component than most of their bucket are compared with the rest of it, so no
-    link proposed by a band is lost.  With 32 bands of 4 rows, a pair at the least
-    similarity goes unproposed five times in a million.
+    Each bucket of equal band keys first holds its members against its few most
+    central ones (those that share most buckets with others), so a bucket of any size
+    costs its size.  Only members that are then still in another component than most
+    of their bucket are held against the rest of it, unless the shingles that they share
+    with any set there are too few, so no link that a band proposes is lost.  With 32 bands of 4 rows, a pair at the least similarity goes unproposed
+    five times in a million.
     """
-    sketches = 34 if bands * rows >= 128 else 128
     signs = materialize(signed(docs, width, bands, rows), "signatures")
     one = signs.where("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-        F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2"))
+        F.first("sketch").alias("sketch"))
     nodes = materialize(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
     checker = _Checker(docs, nodes, width, percent)
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = materialize(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
-    sketch = nodes.select("node", "n", "bits1", "bits2")
-
-    def proposed(pairs: DataFrame) -> DataFrame:
-        x = sketch.select(F.col("node").alias("a"), F.struct("n", "bits1", "bits2").alias("x"))
-        y = sketch.select(F.col("node").alias("b"), F.struct("n", "bits1", "bits2").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(_alike("x", "y", percent, sketches)).select("a", "b")
-
-    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(proposed(stars), "stars")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialize(keyed.join(sizes, "key"), "buckets")
+    sketch = nodes.select("node", "n", "sketch")
+
+    central = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    order = Window.partitionBy("key").orderBy(F.desc("met"), "node")
+    hubs = shared.join(central, "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
+    hubs = hubs.select("key", F.col("node").alias("hub"))
+    stars = shared.select("key", "node").join(hubs, "key").where("node <> hub")
+    stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    x = sketch.select(F.col("node").alias("a"), F.struct("n", F.col("n").alias("most"), "sketch").alias("x"))
+    y = sketch.select(F.col("node").alias("b"), F.struct("n", F.col("n").alias("most"), "sketch").alias("y"))
+    stars = stars.join(x, "a").join(y, "b").where(_alike("x", "y", percent)).select("a", "b")
+    stars = materialize(stars, "stars")
     links = checker.links(stars)
 
-    # What is still apart within a bucket, against the rest of it.
-    named = components(links)
-    member = shared.join(named, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component"))
-    member = materialize(member, "members")
-    counts = member.groupBy("key", "component").count()
-    main = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"),
-                                     F.count("*").alias("parts")).where("parts > 1")
-    main = main.select("key", F.col("top.component").alias("main"))
-    rest = member.join(main, "key").join(sketch, "node")
-    odd = rest.where("component <> main").alias("x")
-    rest = rest.alias("y")
-    cross = odd.join(rest, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-                     & _alike("x", "y", percent, sketches))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    cross, held = _across(shared, components(links), sketch, checker)
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    links = links.union(checker.links(cross))
+    links = links.union(checker.links(cross, held))
 
     named = components(links)
     nodes = nodes.join(named, "node", "left").select("class", "doc_id", F.coalesce("component", "node").alias("c"))
