@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyrank.llm.near_duplicates import near_duplicates
+from tallyrank.llm.substrings import without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,8 @@ def query(name: str, sql: str | None = None):
 @query("op3_circulant_minhash")
 def op3(spark, root):
     return near_duplicates(table(spark, root, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op6_fixed_block_anchors")
+def op6(spark, root):
+    return without_repeats(table(spark, root, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
