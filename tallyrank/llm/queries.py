@@ -6,9 +6,13 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyrank.llm.near_duplicates import near_duplicates
+from tallyrank.llm.quality_model import describe, fit, quality
 from tallyrank.llm.substrings import without_repeats
+from tallyrank.llm.toxicity import learn, toxicity
+from tallyrank.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +40,25 @@ def op3(spark, root):
 @query("op6_fixed_block_anchors")
 def op6(spark, root):
     return without_repeats(table(spark, root, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _fold(column: str, parts: int):
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(-1))
+
+
+@query("op7_positive_unlabelled_quality")
+def op7(spark, root):
+    described = materialize(describe(table(spark, root, "documents")), "described")
+    labels = table(spark, root, "labels").where(_fold("doc_id", 3) != 1)
+    scored = quality(described, fit(described, labels))
+    return scored.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_pattern_grammar_toxicity")
+def op9(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, root, "labels").where(_fold("doc_id", 4) != 2))
+    return toxicity(docs, model).select(
+        "doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
