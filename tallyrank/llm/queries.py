@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.llm.near_duplicates import near_duplicates
+from tallyrank.llm.packing import packed
 from tallyrank.llm.quality_model import describe, fit, quality
 from tallyrank.llm.substrings import without_repeats
+from tallyrank.llm.token_counts import token_counts
 from tallyrank.llm.toxicity import learn, toxicity
 from tallyrank.session import materialize
 
@@ -62,3 +65,27 @@ def op9(spark, root):
     return toxicity(docs, model).select(
         "doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def _edits(text):
+    """Three edits of each text: its first word goes, a sentence enters at a third, two thirds on a bit is doubled."""
+    n = F.length(text)
+    first = F.coalesce(F.locate(" ", text), F.lit(0))
+    edit = lambda at, removed, added: F.struct(
+        at.cast("long").alias("at"), F.lit(removed).cast("long").alias("removed") if isinstance(removed, int)
+        else removed.cast("long").alias("removed"), added.alias("added"))
+    third, late = F.floor(n / 3), F.floor(n * 2 / 3)
+    return F.array(edit(F.lit(0), first, F.lit("")), edit(third, 7, F.lit("'s new, 2nd part ")),
+                   edit(late, 0, F.substring(text, 1, 40)))
+
+
+@query("op1_edit_aware_tokens")
+def op1(spark, root):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, root, "documents").select("doc_id", "text", _edits(text).alias("edits"))
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op8_sum_of_squares_packing")
+def op8(spark, root):
+    return packed(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
