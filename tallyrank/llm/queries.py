@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrank.llm import chat, mixing
 from tallyrank.llm.near_duplicates import near_duplicates
 from tallyrank.llm.packing import packed
 from tallyrank.llm.quality_model import describe, fit, quality
@@ -89,3 +90,19 @@ def op1(spark, root):
 @query("op8_sum_of_squares_packing")
 def op8(spark, root):
     return packed(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_budgeted_chat_windows", chat.SQL)
+def op2(spark, root):
+    turns = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    turns = turns.union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema))
+    read = chat.read_back(chat.windows(turns))
+    return read.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op4_fair_queueing_mix", mixing.SQL)
+def op4(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "source", "text")
+    return mixing.served(docs).select("doc_id", "size", "source_size", "target", "taken")
