@@ -41,8 +41,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
     budget = F.lit(float(share)) * F.sum("source_size").over(everything)
     total = total.withColumn("level", (budget - full) / left)
     fits = F.col("level") <= F.col("cap") / F.col("weight")
-    # The first source that is not filled to its cap sets the level of it and all after it.
-    level = F.min(F.when(fits, F.col("level"))).over(everything)
+    # The first source that is not filled to its cap sets the level of it and all after
+    # it; levels reckoned from later ones are lower.
+    level = F.max(F.when(fits, F.col("level"))).over(everything)
     target = F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap")))
     return total.select("key", "source_size", target.alias("target"))
 
@@ -108,7 +109,7 @@ f AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDE
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
                / sum(weight) OVER (ORDER BY cap / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM c),
-t AS (SELECT source, source_size, least(cap, coalesce((min(CASE WHEN level <= cap / weight THEN level END) OVER ()) * weight,
+t AS (SELECT source, source_size, least(cap, coalesce((max(CASE WHEN level <= cap / weight THEN level END) OVER ()) * weight,
              cap)) AS target FROM f),
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source
              ORDER BY d.place, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start

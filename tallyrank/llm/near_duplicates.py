@@ -257,3 +257,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     name = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"),
                       "class")
+
+
+def distinct_documents(docs: DataFrame, **how) -> DataFrame:
+    """One row of ``docs`` for each component of near duplicates, that of its smallest ``doc_id``.
+
+    Of rows that share a ``doc_id`` the one with the smallest text stays.  Rows without
+    ``doc_id`` can't be named and stay; so do texts without words, each once per id.
+    """
+    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    named = named.withColumn(place, first).where(F.col(place) == 1).drop(place)
+    return named.select(docs.columns).union(docs.where("doc_id is null"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyrank.llm import chat, mixing
 from tallyrank.llm.near_duplicates import near_duplicates
+from tallyrank.llm.neighbours import nearest
 from tallyrank.llm.packing import packed
+from tallyrank.llm.phrases import compared_with_edits
 from tallyrank.llm.quality_model import describe, fit, quality
 from tallyrank.llm.substrings import without_repeats
 from tallyrank.llm.token_counts import token_counts
@@ -106,3 +108,13 @@ def op2(spark, root):
 def op4(spark, root):
     docs = table(spark, root, "documents").select("doc_id", "source", "text")
     return mixing.served(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_multi_index_hashing")
+def op5(spark, root):
+    return nearest(table(spark, root, "embeddings"))
+
+
+@query("op10_consistent_parsing")
+def op10(spark, root):
+    return compared_with_edits(table(spark, root, "documents"))
