@@ -28,32 +28,48 @@ PLAIN = 0x17F
 _tokenizers: dict[str, "CachedIds"] = {}
 
 
+def _shown(byte: int) -> int:
+    """The character that stands for a byte in a byte-level vocabulary: itself if it can be seen."""
+    if 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte <= 255:
+        return byte
+    return 256 + (byte if byte < 33 else byte - 94 if byte < 161 else 67)
+
+
+SHOWN = {byte: _shown(byte) for byte in range(256)}
+
+
 class CachedIds(dict):
     """Ids of a white-space separated piece of text as bytes, remembered for pieces met before."""
 
     def __init__(self, path: str):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.model = self.whole.model.tokenize
         self.pieces = regex.compile(PIECES)
         self.parts: dict[str, bytes] = {}
 
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def part(self, part: str) -> bytes:
+        """Ids of a lower-case piece, by the vocabulary's merges alone."""
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part.encode().decode("latin-1").translate(SHOWN)
+            ids = np.array([t.id for t in self.model(shown)], np.uint32).tobytes()
+            if len(self.parts) >= CACHED:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        if max(word) > chr(PLAIN) or any(s in word for s in self.special) or len(word.split()) != 1:
-            ids = self.encoded(word)
+        plain = word if word.isascii() else unicodedata.normalize("NFC", word)
+        if not plain.isprintable() or "<|" in plain or not plain.isascii() and max(plain) > chr(PLAIN):
+            # Rare letters, odd white space and control strings are left to the whole tokenizer.
+            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        elif (low := plain.lower()).isalpha():
+            ids = self.part(low)
+        elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+            ids = self.part(low[:-1]) + self.part(low[-1])
         else:
-            ids = b""
-            for part in self.pieces.findall(unicodedata.normalize("NFC", word).lower()):
-                got = self.parts.get(part)
-                if got is None:
-                    got = self.encoded(part)
-                    if len(self.parts) >= CACHED:
-                        self.parts.clear()
-                    self.parts[part] = got
-                ids += got
+            ids = b"".join(map(self.part, self.pieces.findall(low)))
         if len(self) >= CACHED:
             self.clear()
         self[word] = ids
