@@ -49,6 +49,18 @@ def _rows(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Differences of whole numbers, byte by byte, so that what shuffles can be compressed."""
+    d = np.diff(values, prepend=values.dtype.type(0))
+    return d.view(np.uint8).reshape(-1, d.dtype.itemsize).T.tobytes()
+
+
+def _whole_numbers(planes: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    d = np.frombuffer(planes, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    return np.cumsum(d, dtype=kind)
+
+
 def _packed(bucket: np.ndarray, doc: np.ndarray, ids: np.ndarray, **values) -> list[dict]:
     """One row for each bucket: its documents, how many entries each has, and the entries."""
     order = np.lexsort((doc, bucket))
@@ -57,9 +69,9 @@ def _packed(bucket: np.ndarray, doc: np.ndarray, ids: np.ndarray, **values) -> l
     for part in np.split(order, cuts):
         if len(part):
             present, counts = np.unique(doc[part], return_counts=True)
-            out.append({"bucket": int(bucket[part[0]]), "docs": ids[present].tobytes(),
-                        "counts": counts.astype(np.uint32).tobytes(),
-                        **{k: v[part].tobytes() for k, v in values.items()}})
+            out.append({"bucket": int(bucket[part[0]]), "docs": _planes(ids[present]),
+                        "counts": _planes(counts.astype(np.uint32)),
+                        **{k: _planes(v[part]) if k == "places" else v[part].tobytes() for k, v in values.items()}})
     return out
 
 
@@ -113,8 +125,15 @@ def _probes(block: int, bits: int):
 
 
 def _unpacked(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
-    join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    return np.repeat(join("docs", np.int64), join("counts", np.uint32)), join(name, kind)
+    read = {"docs": np.int64, "counts": np.uint32, "places": np.uint32}
+
+    def column(c: str, t) -> np.ndarray:
+        parts = table.column(c).to_pylist()
+        if c in read:
+            return np.concatenate([_whole_numbers(x, t) for x in parts])
+        return np.frombuffer(b"".join(parts), t)
+
+    return np.repeat(column("docs", np.int64), column("counts", np.uint32)), column(name, kind)
 
 
 def _by_doc(doc: np.ndarray, values: np.ndarray) -> pa.Table:
