@@ -273,7 +273,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     block = block_words(window)
-    bits = max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     bits = min(bits, 20)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = texts.where("doc_id is not null")
