@@ -22,6 +22,8 @@ from tallyrank.session import materialize
 WINDOW = 50
 #: Words of one pre-aggregated slice of documents.
 SLICE_WORDS = 200_000
+#: Texts whose beginnings the packing of texts starts from.
+SHARED_TEXTS = 64
 _PACKED = "bucket int, docs binary, counts binary, places binary, hashes binary"
 _FOUND = "doc_id long, found binary"
 _CANDIDATES = "kind int, bucket int, doc_id long, n_words long, kept_sha256 string, docs binary, counts binary, hashes binary"
@@ -164,12 +166,17 @@ def _digest(kept: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def _candidates(window: int, block: int, bits: int):
+def _codec(shared: bytes):
+    """Packing and unpacking of texts that have ``shared`` in common; results don't depend on it."""
+    common = zstandard.ZstdCompressionDict(shared, zstandard.DICT_TYPE_RAWCONTENT) if shared else None
+    return (zstandard.ZstdCompressor(6, dict_data=common).compress, zstandard.ZstdDecompressor(common).decompress)
+
+
+def _candidates(window: int, block: int, bits: int, shared: bytes):
     """Documents without hits as they are; of the others the text and the passages around hits."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        pack = zstandard.ZstdCompressor(3).compress
+        pack, unpack = _codec(shared)
         for rows in _sliced(batches, ["doc_id", "text", "hits"]):
             done, held, found, owner = [], [], [], []
             for doc_id, packed, hits in rows:
@@ -225,9 +232,9 @@ def _lost(table: pa.Table) -> pa.Table:
     return _by_doc(doc[gone], h[gone])
 
 
-def _kept(window: int):
+def _kept(window: int, shared: bytes):
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
+        _, unpack = _codec(shared)
         for batch in batches:
             out = []
             for doc_id, packed, own, others in zip(*(batch.column(c).to_pylist()
@@ -251,11 +258,14 @@ def _kept(window: int):
     return run
 
 
-def _compressed(batches):
-    pack = zstandard.ZstdCompressor(3).compress
-    for batch in batches:
-        texts = [pack(t.encode()) if t else None for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+def _compressed(shared: bytes):
+    def run(batches):
+        pack, _ = _codec(shared)
+        for batch in batches:
+            texts = [pack(t.encode()) if t else None for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    return run
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -281,16 +291,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     probes = named.mapInArrow(_probes(block, bits), _PACKED)
     hits = probes.groupBy("bucket").applyInArrow(_hits(block), _FOUND)
     hits = hits.groupBy("doc_id").agg(F.collect_list("found").alias("hits"))
-    # Texts travel packed; two thirds of the bytes stay behind.
-    packed = named.mapInArrow(_compressed, "doc_id long, text binary").join(hits, "doc_id", "left")
-    split = materialize(packed.mapInArrow(_candidates(window, block, bits), _CANDIDATES), "passages")
+    # Texts travel packed, by what a few of them hold.
+    few = named.where("text is not null").select(F.substring("text", 1, 2_000)).limit(SHARED_TEXTS).collect()
+    shared = "\n".join(r[0] for r in few).encode()
+    packed = named.mapInArrow(_compressed(shared), "doc_id long, text binary").join(hits, "doc_id", "left")
+    split = materialize(packed.mapInArrow(_candidates(window, block, bits, shared), _CANDIDATES), "passages")
 
     lost = split.where("kind = 1").select("bucket", "docs", "counts", "hashes")
     lost = lost.groupBy("bucket").applyInArrow(_lost, _FOUND)
     lost = lost.groupBy("doc_id").agg(F.collect_list("found").alias("others"))
     held = split.where("kind = 2").select("doc_id", "docs", "hashes").join(lost, "doc_id", "left")
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    held = held.mapInArrow(_kept(window), shape)
+    held = held.mapInArrow(_kept(window, shared), shape)
     same = split.where("kind = 0").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
         F.lit(None).cast("string").alias("kept_text"))
