@@ -19,10 +19,13 @@ FULL_STOCK = 50
 def product_page(
     products: DataFrame, skip: int, limit: int, text: str | None = None, category: str | None = None
 ) -> DataFrame:
-    """One page of products in id order, after the optional filters."""
+    """One page of products in id order, after the optional filters.
+
+    A text of several words finds products that have any of them, as a search does.
+    """
     page = products
-    if text:
-        page = page.filter(F.array_contains(name_terms(), text.lower()))
+    if text and text.split():
+        page = page.filter(F.arrays_overlap(name_terms(), F.array(*(F.lit(w) for w in text.lower().split()))))
     if category:
         page = page.filter(F.col("category") == category)
     return page.orderBy("product_id").offset(max(skip, 0)).limit(limit)
@@ -89,7 +92,8 @@ def product_factors(products: DataFrame, catalogue: DataFrame | None = None) ->
             F.max(epoch_seconds("created_at")).alias("newest"),
         ).alias("t")
     )
-    bounds = (products if catalogue is None else catalogue).groupBy("category").agg(
+    # Products without a category are priced among themselves.
+    bounds = (products if catalogue is None else catalogue).groupBy(F.col("category").alias("_category")).agg(
         F.min("price").alias("low"), F.max("price").alias("high")
     )
     most = totals.scalar()["reviews"].cast("double")
@@ -100,7 +104,7 @@ def product_factors(products: DataFrame, catalogue: DataFrame | None = None) ->
     price = F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise(
         F.lit(1.0) - ratio(F.col("price") - F.col("low"), F.col("high") - F.col("low"))
     )
-    return products.join(bounds, "category").select(
+    return products.join(bounds, F.col("category").eqNullSafe(F.col("_category")), "left").select(
         *products.columns,
         popularity.alias("popularity_score"),
         F.coalesce(F.pow(F.lit(0.5), age_days / F.lit(HALF_LIFE_DAYS)), F.lit(0.0)).alias(

@@ -96,9 +96,12 @@ def feature_order_check(df: DataFrame, expected: Sequence[str], label: str) -> D
     return df.agg(F.count("*").alias("records")).withColumn("matches", F.lit(matches))
 
 
-def record_issues(features: Sequence[str], model: str = "model_name") -> Column:
-    """Reasons a scoring record is rejected, an empty array for a good one."""
-    reasons = [F.when(F.col(f).isNull(), F.lit(f"{f}:missing")) for f in features]
+def record_issues(df: DataFrame, features: Sequence[str], model: str = "model_name") -> Column:
+    """Reasons a scoring record is rejected, an empty array for a good one.
+
+    NaN counts as missing; Spark orders it above every number, so it is never negative.
+    """
+    reasons = [F.when(_missing(df, f), F.lit(f"{f}:missing")) for f in features]
     for f in ("time", "amount"):
         reasons.append(F.when(F.col(f) < 0, F.lit(f"{f}:negative")))
     unknown = F.col(model).isNotNull() & ~F.col(model).isin(*MODEL_NAMES)
@@ -107,7 +110,7 @@ def record_issues(features: Sequence[str], model: str = "model_name") -> Column:
 
 
 def validate_records(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    issues = df.withColumn("issues", record_issues(features))
+    issues = df.withColumn("issues", record_issues(df, features))
     return issues.withColumn("valid", F.size("issues") == 0)
 
 
