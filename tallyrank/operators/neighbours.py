@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 BROADCAST_VALUES = 4_000_000  # doubles, 32 MB
 BLOCK_ROWS = 8_192
 MAX_PIVOTS = 512
+EXACT_ROWS = 65_536
 RESULT = "id bigint, neighbour bigint, distance double"
 
 
@@ -29,27 +30,38 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _best(ids, x, base_ids, base, k: int, skip_self: bool) -> pd.DataFrame:
     """Best ``k`` base rows of every query row, within one block."""
     parts = []
-    base_sq = (base * base).sum(axis=1)
-    step = max(1, 4_000_000 // max(1, len(base_ids)))
+    if not len(base_ids):
+        return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+    # Around the mean, products lose little of vectors that lie far from the origin.
+    centre = base.mean(axis=0)
+    near = base - centre
+    near_sq = (near * near).sum(axis=1)
+    take = min(k, len(base_ids))
+    step = max(1, 4_000_000 // len(base_ids))
+    rounding = 16 * (base.shape[1] + 4) * np.finfo(float).eps
     for at in range(0, len(ids), step):
         q, qi = x[at : at + step], ids[at : at + step]
-        # Products find a few spare candidates; differences then give exact distances.
-        rough = base_sq[None, :] - 2.0 * (q @ base.T)
+        away = q - centre
+        rough = near_sq[None, :] - 2.0 * (away @ near.T)
         if skip_self:
             rough[qi[:, None] == base_ids[None, :]] = np.inf
-        take = min(k + 8, len(base_ids))
-        near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-        exact = np.sqrt(((base[near] - q[:, None, :]) ** 2).sum(axis=2))
-        exact[np.isinf(np.take_along_axis(rough, near, axis=1))] = np.inf
-        frame = pd.DataFrame(
-            {
-                "id": np.repeat(qi, take),
-                "neighbour": base_ids[near].ravel(),
-                "distance": exact.ravel(),
-            }
+        # All that rounding may hide among the best; differences then give exact distances.
+        kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
+        kth = kth + rounding * ((away * away).sum(axis=1) + near_sq.max())
+        rows, cols = np.nonzero((rough <= kth[:, None]) & np.isfinite(rough))
+        exact = np.empty(len(rows))
+        for i in range(0, len(rows), EXACT_ROWS):
+            part = slice(i, i + EXACT_ROWS)
+            exact[part] = np.sqrt(((base[cols[part]] - q[rows[part]]) ** 2).sum(axis=1))
+        order = np.lexsort((base_ids[cols], exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = place < k
+        parts.append(
+            pd.DataFrame(
+                {"id": qi[rows[best]], "neighbour": base_ids[cols[best]], "distance": exact[best]}
+            )
         )
-        frame = frame[np.isfinite(frame["distance"])].sort_values(["id", "distance", "neighbour"])
-        parts.append(frame.groupby("id", sort=False).head(k))
     return pd.concat(parts) if parts else pd.DataFrame({"id": [], "neighbour": [], "distance": []})
 
 

@@ -18,7 +18,8 @@ def read_transactions(spark: SparkSession, path: str, validate: bool = True) ->
     """Transactions with the declared types; no pass to infer them.
 
     The header is checked by name first.  A row that does not parse has nulls in
-    the columns at fault, which the quality checks report.  A missing file raises.
+    the columns at fault, which the quality checks report.  A missing file raises,
+    and so does reading one of several files whose header differs from the others'.
     """
     header = spark.read.csv(path, header=True).columns
     if validate:
@@ -27,5 +28,5 @@ def read_transactions(spark: SparkSession, path: str, validate: bool = True) ->
             raise ValueError(f"required columns are missing: {absent}")
     types = {f.name: f for f in CARD_SCHEMA}
     schema = StructType([types.get(c, StructField(c, StringType())) for c in header])
-    rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE")
+    rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", enforceSchema=False)
     return rows.select(*[c for c in CARD_SCHEMA.names if c in header])

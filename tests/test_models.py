@@ -46,6 +46,29 @@ def test_neighbours_of_many_equal_points_stay_whole(spark):
     assert got.filter("id < 1000").agg(F.max("distance")).first()[0] == 0.0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 13])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_values": 2, "block_rows": 16}])
+def test_equal_points_are_told_apart_by_id_however_they_are_dealt(spark, parts, limits):
+    rows = [(100 + i, [1.0, 2.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").repartition(parts)
+    got = nearest_neighbours(df, df, 3, **limits).orderBy("id", "rank").collect()
+    for i in range(60):
+        brute = [j for j in range(100, 160) if j != 100 + i][:3]
+        assert [r["neighbour"] for r in got[3 * i : 3 * i + 3]] == brute
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_values": 8, "block_rows": 32}])
+def test_points_close_together_far_from_the_origin_keep_their_order(spark, limits):
+    x = 1e5 + 1e-4 * np.random.default_rng(8).normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = {}
+    for r in nearest_neighbours(df, df, 4, **limits).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+    for i in range(60):
+        brute = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(60) if j != i)[:4]
+        assert [got[i][k + 1] for k in range(4)] == [j for _, j in brute]
+
+
 @pytest.mark.parametrize("method", ["smote", "adasyn"])
 def test_synthetic_rows_lie_between_their_parents(frame, points, method):
     made = getattr(balancing, method)(frame).collect()

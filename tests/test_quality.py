@@ -59,6 +59,15 @@ def test_card_csv_is_read_with_its_schema_and_checked(spark, tmp_path):
         read_transactions(spark, str(short))
 
 
+def test_card_csv_whose_files_order_their_columns_differently_is_refused(spark, tmp_path):
+    names = [*CARD_FEATURES, "Class"]
+    values = ["0.5"] * 30 + ["1"]
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(values) + "\n")
+    (tmp_path / "b.csv").write_text(",".join(names[::-1]) + "\n" + ",".join(values[::-1]) + "\n")
+    with pytest.raises(Exception, match="header"):
+        read_transactions(spark, str(tmp_path)).collect()
+
+
 def test_scaling_uses_population_deviation_and_survives_constants(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     out = scaling.scale(df, ["a", "b"], scaling.scaler_state(df, ["a", "b"])).collect()
