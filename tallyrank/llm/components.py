@@ -15,6 +15,14 @@ def _hooked(neighbours: DataFrame, keep) -> DataFrame:
     return neighbours.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v``, which is no ``u`` itself; so it is for no edges."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down = 1)").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of the edges ``a, b`` (longs, in either order).
 
@@ -25,13 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = materialize(both.distinct(), "edges")
-    seen = None
-    while True:
-        # Distinct edges u > v; done when a round leaves them as they were.
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or state[0] == 0:
-            break
-        seen = state
+    while not _is_star_forest(now):
         around = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hooked(around, F.col("v") > F.col("u")).where("u <> v").distinct()
         small = _hooked(large, F.lit(True))
