@@ -9,6 +9,7 @@ insult words and the weights of the kinds are learned from labelled documents.
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -20,8 +21,6 @@ from tallyrank.session import materialize
 
 #: Labelled documents that the lexicon and the weights are learned from, at most.
 LABELLED = 20_000
-#: Words looked at for the lexicon, best first, at most.
-LOOKED_AT = 4_000
 
 # Fixed values of the grammar.
 TARGETS = frozenset("you your yours yourself u he him his she her they them their we us i me these those people everyone "
@@ -103,12 +102,11 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], ["word", "toxic"])
 
 
-def _met(looked: frozenset):
+def _met(looked: dict[str, int]):
     def run(batches):
         for batch in batches:
-            own = [sorted(looked & _units(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.string()))],
-                                             ["toxic", "words"])
+            own = [[looked[w] for w in _units(t) if w in looked] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], ["words"])
 
     return run
 
@@ -123,12 +121,44 @@ def _matched(insults: dict[str, float]):
     return run
 
 
-def _lexicon(sample: DataFrame, total: int, toxic: int) -> dict[str, float]:
+def _explaining(words: np.ndarray, docs: np.ndarray, n_words: int) -> list[int]:
+    """Numbers of the words chosen greedily until every document is explained by three.
+
+    ``words`` and ``docs`` are the pairs of a word and a document that holds it.  The
+    word that explains most documents comes first, of equal ones that of the larger
+    number; one that explains fewer than four is not chosen.
+    """
+    held = docs[np.argsort(words, kind="stable")]
+    ends = np.cumsum(np.bincount(words, minlength=n_words))
+    starts = np.append(0, ends[:-1])
+    needs, chosen = np.full(docs.max(initial=-1) + 1, 3), []
+    heap = [(-int(e - s), -w) for w, (s, e) in enumerate(zip(starts, ends))]
+    heapq.heapify(heap)
+    while heap:
+        w = -heapq.heappop(heap)[1]
+        holding = held[starts[w]:ends[w]]
+        gain = int((needs[holding] > 0).sum())
+        if gain < 4:
+            continue  # gains only fall
+        if heap and gain < -heap[0][0]:
+            heapq.heappush(heap, (-gain, -w))  # its count was stale: the next best may lead now
+            continue
+        chosen.append(w)
+        needs[holding] -= 1
+    return chosen
+
+
+def _lexicon(sample: DataFrame) -> dict[str, float]:
     """Words and stems that toxic documents hold beyond chance, by the documents they explain.
 
-    Every document is explained by its three strongest words, so the other words of
-    a toxic text that was copied many times do not enter.
+    ``sample`` is counted by distinct texts, so copies of a text weigh as one; a text
+    labelled both ways is what most of its labels say.  Every document is explained by
+    its three strongest words, so the other words of a long toxic text with many near
+    copies do not enter.  No word that passes the filter is left out of the choice.
     """
+    sample = sample.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("long").alias("toxic"))
+    sample = materialize(sample, "labelled-texts")
+    total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return {}
     counts = sample.mapInArrow(_counted, "word string, toxic long").groupBy("word").agg(
@@ -136,28 +166,14 @@ def _lexicon(sample: DataFrame, total: int, toxic: int) -> dict[str, float]:
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (toxic - F.col("a") + 0.5)) - F.log(b / (total - toxic - F.col("n") + F.col("a") + 0.5))
     counts = counts.withColumn("odds", odds).withColumn("sure", odds - 2 * F.sqrt(1 / a + 1 / b)).where("sure > 1")
-    best = {r.word: r.odds for r in counts.orderBy(F.desc("a"), "word").limit(LOOKED_AT).collect()}
+    best = dict(sorted((r.word, r.odds) for r in counts.select("word", "odds").collect()))
     if not best:
         return {}
-    rows = sample.where("toxic = 1").mapInArrow(_met(frozenset(best)), "toxic long, words array<string>").collect()
-    docs = [r.words for r in rows]
-    holding: dict[str, list[int]] = {}
-    for i, own in enumerate(docs):
-        for w in own:
-            holding.setdefault(w, []).append(i)
-    needs, chosen = [3] * len(docs), {}
-    gain = {w: len(h) for w, h in holding.items()}
-    while gain:
-        w = max(gain, key=lambda x: (gain[x], x))
-        gain[w] = sum(needs[i] > 0 for i in holding[w])
-        if gain[w] < max((gain[x] for x in gain if x != w), default=0):
-            continue  # its count was stale: the next best may lead now
-        if gain[w] < 4:
-            break
-        del gain[w]
-        chosen[w] = best[w]
-        for i in holding[w]:
-            needs[i] -= 1
+    words = list(best)
+    met = sample.where("toxic = 1").mapInArrow(_met({w: i for i, w in enumerate(words)}), "words array<int>")
+    own = met.toArrow().column("words").combine_chunks()
+    docs = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
+    chosen = {words[w]: best[words[w]] for w in _explaining(own.flatten().to_numpy(), docs, len(words))}
     top = max(chosen.values(), default=1.0)
     return {w: v / top for w, v in chosen.items()}
 
@@ -188,8 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[di
     # At most ``limit`` ids, so they are sent to the documents.
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     sample = materialize(sample.select("text", "toxic"), "labelled")
-    total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    insults = _lexicon(sample, total, toxic)
+    insults = _lexicon(sample)
     rows = sample.mapInArrow(_matched(insults), "toxic long, found array<double>").collect()
     x = np.array([r.found for r in rows]).reshape(-1, len(KINDS))
     return insults, _weights(x, np.array([r.toxic for r in rows], float))

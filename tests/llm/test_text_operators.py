@@ -130,6 +130,22 @@ def test_toxicity_learns_words_and_reads_clauses(spark):
     assert learn(docs, labels.limit(0))[0] == {}
 
 
+def test_long_toxic_texts_with_many_copies_leave_the_words_of_others(spark):
+    rng = random.Random(4)
+    clean = lambda what="fine": " ".join(f"w{rng.randint(0, 60)}" for _ in range(30)) + f" you {what} thing."
+    rare = lambda: " ".join("".join(rng.choices("bcdfghklmnprst", k=9)) for _ in range(2500))
+    copied, near = rare(), rare()
+    toxic = [clean("blorgish") for _ in range(30)] + [copied] * 60 + [f"{near} n{i}" for i in range(60)]
+    rows = [(i, t, "x", 1) for i, t in enumerate(toxic + [clean() for _ in range(300)])]
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i, *_ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    insults, weights = learn(docs, labels)
+    assert "blorgish" in insults or "blorg*" in insults
+    assert not set(copied.split()) & set(insults) and len(set(near.split()) & set(insults)) <= 3
+    got = {r.doc_id: r.score for r in toxicity(docs, (insults, weights)).collect()}
+    assert all(got[i] >= 0.3 for i in range(30)) and all(got[i] < 0.3 for i in range(150, 450))
+
+
 def test_quality_from_positive_and_unlabelled(spark):
     rng = random.Random(2)
     good = lambda: " ".join(f"w{rng.randint(0, 900)}" for _ in range(60)) + "."
