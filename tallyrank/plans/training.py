@@ -111,6 +111,38 @@ def fit_boosted_held_out(rows: DataFrame, s: Settings):
         both.unpersist()
 
 
+@dataclass
+class Scaler:
+    """Mean and scale of each feature, in the order the models read them."""
+
+    features: list[str]
+    mean: list[float]
+    scale: list[float]
+
+    @classmethod
+    def fit(cls, rows: DataFrame) -> "Scaler":
+        state = scaling.vector_state(rows).first()["state"]
+        return cls([f"x[{i}]" for i in range(len(state["mean"]))], list(state["mean"]), list(state["scale"]))
+
+    def apply(self, raw: DataFrame) -> DataFrame:
+        """Raw rows with ``x`` scaled; a row of another number of features stops the job."""
+        mean, spread = (F.array(*[F.lit(float(v)) for v in values]) for values in (self.mean, self.scale))
+        scaled = F.transform("x", lambda v, i: (v - F.get(mean, i)) / F.get(spread, i))
+        wrong = F.raise_error(F.lit(f"x does not hold the {len(self.features)} features of the scaler"))
+        fits = F.coalesce(F.size("x"), F.lit(-1)) == len(self.features)
+        return raw.withColumn("x", F.when(fits, scaled).otherwise(wrong))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = list(zip(range(len(self.features)), self.features, self.mean, self.scale))
+        names = "position int, feature string, mean double, scale double"
+        spark.createDataFrame(rows, names).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Scaler":
+        rows = sorted(spark.read.parquet(path).select("position", "feature", "mean", "scale").collect())
+        return cls([r.feature for r in rows], [r.mean for r in rows], [r.scale for r in rows])
+
+
 @dataclass
 class Bases:
     """The four fitted base models."""
@@ -155,13 +187,18 @@ class Bases:
 
 @dataclass
 class Ensemble:
-    """Base models and the logistic model on their scores."""
+    """The scaler, base models and the logistic model on their scores."""
 
     bases: Bases
     meta: LogisticRegressionModel
+    scaler: Scaler
+
+    def score_raw(self, raw: DataFrame) -> DataFrame:
+        """``score`` for rows as they come, before scaling."""
+        return self.score(self.scaler.apply(raw))
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Base scores and ``stacking_ensemble`` beside the input columns."""
+        """Base scores and ``stacking_ensemble`` beside the columns of scaled rows."""
         scored = self.bases.score(df)
         keep = [F.col(c) for c in scored.columns]
         out = self.meta.transform(meta_features(scored))
@@ -173,10 +210,12 @@ class Ensemble:
     def save(self, spark: SparkSession, path: str) -> None:
         self.bases.save(spark, path)
         self.meta.write().save(f"{path}/meta")
+        self.scaler.save(spark, f"{path}/scaler")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Ensemble":
-        return cls(Bases.load(spark, path), LogisticRegressionModel.load(f"{path}/meta"))
+        return cls(Bases.load(spark, path), LogisticRegressionModel.load(f"{path}/meta"),
+                   Scaler.load(spark, f"{path}/scaler"))
 
 
 def meta_features(scored: DataFrame) -> DataFrame:
@@ -213,13 +252,20 @@ class TrainingRun:
     def spark(self) -> SparkSession:
         return self.data.sparkSession
 
+    @cached_property
+    def parts(self) -> DataFrame:
+        return split.train_test_split(self.data, LABEL, ["id"], 0.2, self.settings.seed)
+
+    @cached_property
+    def scaler(self) -> Scaler:
+        return Scaler.fit(self.parts.filter(F.col("split") == "train"))
+
     @cached_property
     def rows(self) -> DataFrame:
         """Scaled rows with their split and fold, written once to the shared folder."""
         s = self.settings
-        parts = split.train_test_split(self.data, LABEL, ["id"], 0.2, s.seed)
-        train = parts.filter(F.col("split") == "train")
-        scaled = scaling.scale_vector(parts, scaling.vector_state(train))
+        train = self.parts.filter(F.col("split") == "train")
+        scaled = self.scaler.apply(self.parts)
         folded = split.stratified_folds(train, LABEL, ["id"], s.folds, s.seed + 1)
         out = scaled.join(folded.select("id", "fold"), "id", "left")
         return materialize(out.select("id", "x", LABEL, "split", "fold"), "training-rows")
@@ -293,7 +339,34 @@ class TrainingRun:
         scores = meta_features(self.out_of_fold).persist()
         meta = fit_logistic(scores, scores.count(), self.settings)
         scores.unpersist()
-        return Ensemble(self.bases, meta)
+        return Ensemble(self.bases, meta, self.scaler)
+
+    @cached_property
+    def stored(self) -> Ensemble:
+        """The ensemble as it is read back from where it was stored."""
+        path = save_path(self.spark, "stored-ensemble")
+        self.ensemble.save(self.spark, path)
+        return Ensemble.load(self.spark, path)
+
+    def stored_base(self, name: str):
+        """One base model and the scaler, read back from where they were stored."""
+        path = save_path(self.spark, f"stored-{name}")
+        self.scaler.save(self.spark, f"{path}/scaler")
+        if name == "isolation_forest":
+            self.isolated.save(self.spark, f"{path}/model")
+            model = isolation.IsolationForest.load(self.spark, f"{path}/model")
+        else:
+            fitted = {"logistic_regression": "logistic", "random_forest": "forest", "xgboost": "boosted"}
+            fitted = getattr(self, fitted[name])
+            fitted.write().save(f"{path}/model")
+            model = type(fitted).load(f"{path}/model")
+        return model, Scaler.load(self.spark, f"{path}/scaler")
+
+    @cached_property
+    def all_scores(self) -> DataFrame:
+        """Every raw row with all five scores of the stored ensemble, written once."""
+        scored = self.stored.score_raw(self.data).select("id", LABEL, *BASES, "stacking_ensemble")
+        return materialize(scored, "all-scores")
 
     @cached_property
     def test_scores(self) -> DataFrame:

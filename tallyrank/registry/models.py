@@ -142,12 +142,14 @@ def train_isolation_forest(spark, root):
 
 @query("iforest_scores")
 def iforest_scores(spark, root):
+    """Every row of the table, scored by the stored forest."""
     run = _run(spark, root)
-    scored = run.isolated.score(run.test)
+    forest, scaler = run.stored_base("isolation_forest")
+    scored = forest.score(scaler.apply(run.data))
     return scored.select(
         "id", rounded("raw_score").alias("raw_score"),
-        rounded(run.isolated.probability()).alias("p"),
-        isolation.anomaly_label(F.col("raw_score"), run.isolated.offset).alias("label"),
+        rounded(forest.probability()).alias("p"),
+        isolation.anomaly_label(F.col("raw_score"), forest.offset).alias("label"),
     )
 
 
@@ -276,7 +278,8 @@ def training_summary(spark, root):
 
 @query("score_transactions")
 def score_transactions(spark, root):
-    scored = _run(spark, root).test_scores
+    """Every row of the table, scored by the stored ensemble."""
+    scored = _run(spark, root).all_scores
     from tallyrank.functions.risk import hard_label, risk_band
 
     return scored.select(
@@ -288,7 +291,7 @@ def score_transactions(spark, root):
 
 @query("base_model_scores")
 def base_model_scores(spark, root):
-    scored = _run(spark, root).test_scores
+    scored = _run(spark, root).all_scores
     from tallyrank.operators.scoring import score_map
 
     out = scored.select("id", *[rounded(c).alias(c) for c in ALL])
@@ -298,7 +301,8 @@ def base_model_scores(spark, root):
 @query("score_single_model")
 def score_single_model(spark, root):
     run = _run(spark, root)
-    scored = run.logistic.transform(tr.with_features(run.test))
+    model, scaler = run.stored_base("logistic_regression")
+    scored = model.transform(tr.with_features(scaler.apply(run.data)))
     return scored.select(
         "id", rounded(tr.positive()).alias("p"), F.col("prediction").cast("int").alias("label")
     )
@@ -349,12 +353,12 @@ def als_scores(spark, root):
 
 @query("stream_score")
 def stream_score(spark, root):
-    """The test rows arriving as a stream, scored by the fitted ensemble."""
+    """Every row of the table arriving as a stream, scored by the stored ensemble."""
     run = _run(spark, root)
     path = tr.save_path(spark, "arriving")
-    run.test.write.parquet(path)
-    arriving = spark.readStream.schema(run.test.schema).parquet(path)
+    run.data.write.parquet(path)
+    arriving = spark.readStream.schema(run.data.schema).parquet(path)
     stored = flows.score_stream(
-        arriving, lambda s: run.ensemble.score(s).select("id", "stacking_ensemble")
+        arriving, lambda s: run.stored.score_raw(s).select("id", "stacking_ensemble")
     )
     return stored.select("id", rounded("stacking_ensemble").alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyrank.operators import balancing, isolation
 from tallyrank.operators.neighbours import nearest_neighbours
 from tallyrank.plans import training as tr
+from tallyrank.registry import models
 from tallyrank.session import scratch_path
 
 
@@ -147,3 +148,25 @@ def test_models_learn_and_the_ensemble_survives_storage(spark, run):
     again = tr.Ensemble.load(spark, path).score(run.test).toPandas().sort_values("id")
     before = run.test_scores.toPandas().sort_values("id")
     assert np.allclose(again.stacking_ensemble, before.stacking_ensemble)
+
+
+@pytest.mark.parametrize("name", ["score_transactions", "base_model_scores", "score_single_model", "iforest_scores",
+                                  "stream_score"])
+def test_every_row_is_scored_by_the_stored_model(spark, run, points, monkeypatch, name):
+    monkeypatch.setattr(models, "_run", lambda spark, root: run)
+    got = getattr(models, name)(spark, "").toPandas().set_index("id").sort_index()
+    assert list(got.index) == [i for i, _, _ in points]
+    if name in ("score_transactions", "stream_score"):
+        held = run.test_scores.toPandas().set_index("id").stacking_ensemble
+        assert np.allclose(got.loc[held.index].p, held, atol=1e-6)
+
+
+def test_the_scaler_is_stored_and_refuses_other_features(spark, run, points):
+    train = {r["id"] for r in run.train.select("id").collect()}
+    x = np.array([v for i, v, _ in points if i in train])
+    _, scaler = run.stored_base("logistic_regression")
+    assert scaler == run.scaler and len(scaler.features) == 4
+    assert np.allclose(scaler.mean, x.mean(axis=0)) and np.allclose(scaler.scale, x.std(axis=0))
+    for wrong in ([1.0, 2.0], None):
+        with pytest.raises(Exception, match="features of the scaler"):
+            scaler.apply(spark.createDataFrame([(1, wrong)], "id long, x array<double>")).collect()
