@@ -288,6 +288,23 @@ def optimal_threshold(scored: DataFrame, metric: str = "f1") -> DataFrame:
     )
 
 
+def chart_curves(scored: DataFrame, decimals: int | None = None, most: int | None = None) -> DataFrame:
+    """(model, threshold, fpr, tpr, precision) at every distinct score.
+
+    ``most`` thins each curve to at most so many points; without it curves are whole.
+    """
+    c = cumulated(scored, decimals)
+    if most is not None:
+        c = thin(c, "cum_one", "all_one", most)
+    return c.select(
+        "model",
+        F.col("p").alias("threshold"),
+        ratio("cum_neg", "all_neg").alias("fpr"),
+        ratio("cum_pos", "all_pos").alias("tpr"),
+        ratio("cum_pos", F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
+    )
+
+
 def thin(points: DataFrame, rank: str, total: str, most: int) -> DataFrame:
     """Keep at most ``most`` points of each curve, spread over its ranks."""
     slot = F.floor((F.col(rank) - 1) * (most - 1) / F.col(total))

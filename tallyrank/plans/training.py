@@ -376,16 +376,13 @@ class TrainingRun:
 
 
 def long_scores(scored: DataFrame, names: list[str]) -> DataFrame:
-    """(model, y, p) from one column per model, six places kept."""
+    """(model, y, p) from one column per model, scores as they are."""
     long = scored.unpivot([LABEL], names, "model", "p")
-    return long.select("model", F.col(LABEL).alias("y"), F.round("p", 6).alias("p"))
-
-
-SCORE_DECIMALS = 6
+    return long.select("model", F.col(LABEL).alias("y"), "p")
 
 
 def area(scored: DataFrame, names: list[str]) -> DataFrame:
-    return ev.roc_auc(long_scores(scored, names), SCORE_DECIMALS)
+    return ev.roc_auc(long_scores(scored, names))
 
 
 def boosted_importance(model: GBTClassificationModel, path: str) -> DataFrame:

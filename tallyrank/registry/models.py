@@ -17,6 +17,7 @@ from tallyrank.sources import tables
 from tallyrank.streaming import flows
 
 ALL = [*tr.BASES, "stacking_ensemble"]
+HEADLINE = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 K = 5
 
 
@@ -249,7 +250,7 @@ def training_report(spark, root):
     pairs = [F.lit(x) for kv in trees.items() for x in kv]
     named = sizes.select(F.struct("*").alias("s")).scalar()
     return train.join(test, "model").withColumn("s", named).select(
-        "model", "train_auc", "test_auc", "s.*",
+        "model", rounded("train_auc").alias("train_auc"), rounded("test_auc").alias("test_auc"), "s.*",
         F.try_element_at(F.create_map(*pairs), F.col("model")).alias("trees"),
     )
 
@@ -269,8 +270,8 @@ def training_history(spark, root):
 def training_summary(spark, root):
     """Headline metrics of all five models on the test rows, stored as a result table."""
     run = _run(spark, root)
-    metrics = ev.evaluate(tr.long_scores(run.test_scores, ALL), decimals=tr.SCORE_DECIMALS)
-    return materialize(ev.compare(metrics), "training-summary")
+    metrics = ev.compare(ev.evaluate(tr.long_scores(run.test_scores, ALL)))
+    return materialize(metrics.withColumns({c: rounded(c) for c in HEADLINE}), "training-summary")
 
 
 # Scoring with fitted models.
@@ -330,7 +331,8 @@ def reload_and_evaluate(spark, root):
     path = tr.save_path(spark, "ensemble")
     run.ensemble.save(spark, path)
     scored = tr.Ensemble.load(spark, path).score(run.test)
-    return ev.evaluate(tr.long_scores(scored, ALL), decimals=tr.SCORE_DECIMALS)
+    metrics = ev.evaluate(tr.long_scores(scored, ALL))
+    return metrics.withColumns({c: rounded(c) for c in HEADLINE})
 
 
 @query("als_scores")

@@ -372,12 +372,6 @@ _SLOT = "CAST(floor((rn - {k}) * " + str(CHART_POINTS - 1) + " / CAST(total AS D
   WHERE total <= {CHART_POINTS} OR rn = 1 OR rn = total
     OR {_SLOT.format(k=1)} <> {_SLOT.format(k=2)}"""))
 def chart_curves(spark, root):
-    c = ev.cumulated(tables.scores(spark, root), DECIMALS)
-    thinned = ev.thin(c, "cum_one", "all_one", CHART_POINTS)
-    return thinned.select(
-        "model",
-        F.col("p").alias("threshold"),
-        rounded(F.col("cum_neg") / F.col("all_neg")).alias("fpr"),
-        rounded(F.col("cum_pos") / F.col("all_pos")).alias("tpr"),
-        rounded(F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-    )
+    """Thinned as its SQL says; ``evaluation.chart_curves`` gives whole curves by default."""
+    out = ev.chart_curves(tables.scores(spark, root), DECIMALS, CHART_POINTS)
+    return out.withColumns({c: rounded(c) for c in ("fpr", "tpr", "precision")})

@@ -2,6 +2,7 @@ import pytest
 
 from tallyrank.operators import evaluation as ev, isolation
 from tallyrank.functions.risk import confidence, hard_label, risk_action, risk_band
+from tallyrank.plans import training as tr
 from pyspark.sql import functions as F
 
 HAND = list(zip([0, 0, 1, 1, 1], [0.1, 0.5, 0.5, 0.6, 0.9]))
@@ -88,3 +89,17 @@ def test_anomaly_normalisation(spark):
     assert same == [0.5] * 3
     with pytest.raises(RuntimeError):
         isolation.normalised_score(F.col("raw"), None, None)
+
+
+def test_curves_are_whole_unless_thinning_is_asked_for(spark):
+    df = spark.range(500).select(F.lit("m").alias("model"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+                                 (F.col("id") / 500).alias("p"))
+    whole = ev.chart_curves(df).collect()
+    assert sorted(r["threshold"] for r in whole) == [i / 500 for i in range(500)]
+    assert ev.chart_curves(df, most=200).count() <= 201
+
+
+def test_fitted_scores_close_together_are_told_apart(spark):
+    rows = [(i % 2, 0.5 + (1 + i % 2) * 1e-8 + i * 1e-11) for i in range(40)]
+    df = spark.createDataFrame(rows, "class int, m double")
+    assert tr.area(df, ["m"]).first()["roc_auc"] == 1.0
