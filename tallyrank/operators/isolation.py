@@ -37,21 +37,20 @@ def mean_path(n: int) -> float:
 
 
 def tree_samples(df: DataFrame, n: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, x): ``sample`` rows per tree, drawn without replacement by hash."""
-    if n > 4 * trees * sample:
-        # Plenty of rows: one draw thins the table and deals rows to trees.
-        keep = 2.5 * trees * sample / n
-        draw = (F.xxhash64(F.col("id"), F.lit(seed)) / F.lit(2.0**64)) + F.lit(0.5)
-        dealt = df.select("id", "x", draw.alias("u")).filter(F.col("u") < keep)
-        dealt = dealt.withColumn("tree", F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 1)), F.lit(trees)))
-    else:
-        # Few rows (at most 4 * trees * sample): every tree draws from all of them.
-        keep = min(1.0, 2.5 * sample / max(n, 1))
-        spread = df.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        draw = (F.xxhash64("id", "tree", F.lit(seed)) / F.lit(2.0**64)) + F.lit(0.5)
-        dealt = spread.withColumn("u", draw)
-        if keep < 1.0:
-            dealt = dealt.filter(F.col("u") < keep)
+    """(tree, x): ``sample`` rows per tree, drawn without replacement by hash.
+
+    Whether a row may enter a tree depends on the hash of both, at every size, so a row
+    may enter several trees.  Trees a row does not enter leave before it is repeated.
+    """
+    keep = min(1.0, 2.5 * sample / max(n, 1))
+
+    def draw(tree: Column) -> Column:
+        return (F.xxhash64("id", tree, F.lit(seed)) / F.lit(2.0**64)) + F.lit(0.5)
+
+    entered = F.sequence(F.lit(0), F.lit(trees - 1))
+    if keep < 1.0:
+        entered = F.filter(entered, lambda tree: draw(tree) < keep)
+    dealt = df.select("id", "x", F.explode(entered).alias("tree")).withColumn("u", draw(F.col("tree")))
     order = W.partitionBy("tree").orderBy("u", "id")
     return (
         dealt.withColumn("rn", F.row_number().over(order))

@@ -120,6 +120,17 @@ def test_tree_samples_hold_the_wanted_rows_when_there_are_plenty(spark):
     assert {r["count"] for r in counts} == {64}
 
 
+@pytest.mark.parametrize("n", [2560, 2561, 20000])
+def test_trees_are_dealt_by_one_rule_at_every_size(spark, n):
+    df = spark.range(n).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    got = {(r["tree"], r["id"]) for r in isolation.tree_samples(df, n, 10, 64, 1).collect()}
+    pairs = df.select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("tree"))
+    first = {}
+    for r in pairs.withColumn("h", F.xxhash64("id", "tree", F.lit(1))).collect():
+        first.setdefault(r["tree"], []).append((r["h"], r["id"]))
+    assert got == {(t, i) for t, own in first.items() for _, i in sorted(own)[:64]}
+
+
 def test_mean_path():
     assert isolation.mean_path(1) == 0.0 and isolation.mean_path(2) == 1.0
     assert isolation.mean_path(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 510 / 256)
