@@ -3,8 +3,9 @@
 Words are read by five small transducers: insults, threats, targets, negation and
 reported speech.  A clause machine composes them: it carries whether a target was
 met, how far back a negation or a verb of saying lies, and emits the clause's matches
-by kind.  A document is scored by its matched clauses, never by words alone.  The
-insult words and the weights of the kinds are learned from labelled documents.
+by kind.  A document is scored by its matched clauses; an insult in a clause without a
+target is a match of a kind of its own, so a lone word scores.  The insult words and
+the weights of the kinds are learned from labelled documents.
 """
 
 from __future__ import annotations
