@@ -5,7 +5,9 @@ Each stage works on what the one before kept, written as Parquet and read again.
 
 from __future__ import annotations
 
+import functools
 import os
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,22 @@ from tallyrank.llm.toxicity import learn, toxicity
 from tallyrank.session import materialize
 
 TOXIC = 0.3
+#: Columns that stages read or change by name.
+USED = ("doc_id", "text", "source", "n_chars")
 
 
+def _aside(stage: Callable) -> Callable:
+    """``stage`` with all other columns carried through under names it does not work with."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in USED else f"carried_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@_aside
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar scores below 0.3.
 
@@ -32,11 +48,13 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < TOXIC).select(docs.columns)
 
 
+@_aside
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
     return distinct_documents(docs)
 
 
+@_aside
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words that one with a smaller id has as well.
 
@@ -50,6 +68,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", chars.cast("long")).select(docs.columns)
 
 
+@_aside
 def weighed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources, whole documents, up to three times each, by finish time."""
     return mixed(docs).select(docs.columns)
