@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.llm import chat, mixing
+from tallyrank.llm import chat, hard_negatives, mixing, subvectors
 from tallyrank.llm.near_duplicates import near_duplicates
 from tallyrank.llm.neighbours import nearest
 from tallyrank.llm.packing import packed
+from tallyrank.llm.personal_data import personal_data
 from tallyrank.llm.phrases import compared_with_edits
 from tallyrank.llm.quality_model import describe, fit, quality
 from tallyrank.llm.substrings import without_repeats
@@ -118,3 +119,19 @@ def op5(spark, root):
 @query("op10_consistent_parsing")
 def op10(spark, root):
     return compared_with_edits(table(spark, root, "documents"))
+
+
+@query("op12_subvector_dictionaries", subvectors.SQL)
+def op12(spark, root):
+    return subvectors.clusters(table(spark, root, "embeddings"))
+
+
+@query("op13_strassen_hard_negatives", hard_negatives.SQL)
+def op13(spark, root):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, root, "embeddings"), label)
+
+
+@query("op11_skip_chain_field")
+def op11(spark, root):
+    return personal_data(table(spark, root, "documents"))
