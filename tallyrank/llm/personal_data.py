@@ -29,10 +29,12 @@ KINDS = ("email", "ip", "card", "phone")
 DIGITS = (0, 0, 19, 15)
 #: Documents with nodes that the weights are fitted on, and nodes of one, at most.
 SAMPLE, SAMPLE_NODES = 4_000, 64
-#: Columns of the hashed features, features of a node, and keys of a node.
-WIDTH, FEATURES, KEYS = 1_024, 7, 3
+#: Columns of the hashed features; features, keys and numbers that place a node (start, end, digits, barred label).
+WIDTH, FEATURES, KEYS, PLACE = 1_024, 7, 3, 4
 #: Rounds of message passing, and the share of the old message that is kept.
 ROUNDS, DAMPING = 24, 0.5
+#: Agreement of joined tokens that the fit is drawn to: a corpus without repeats doesn't show it.
+AGREE = 2.0
 #: Probability of its kind from which a token is added.
 SURE = 0.8
 
@@ -117,6 +119,14 @@ def _shape(token: str) -> str:
     return "".join(out)
 
 
+def _barred(token: str) -> int:
+    """The label that a token can't have as its own check fails, or 0: a card's digits, an address' parts."""
+    digits = _NOT_DIGIT.sub("", token)
+    if 12 <= len(digits) and len(digits) >= len(token) - 3 and not (len(digits) <= 19 and luhn(digits)):
+        return 3
+    return 2 if _IP.fullmatch(token) else 0  # one that passes is under a base span
+
+
 def _column(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}={value}") % WIDTH
 
@@ -175,7 +185,7 @@ def _read(batches):
         for text in batch.column("text"):
             text = text.as_py() or ""
             spans, found, labels, chained, features, keys = _described(text)
-            places = [(start, end, len(_NOT_DIGIT.sub("", text[start:end]))) for start, end in found]
+            places = [(start, end, len(_NOT_DIGIT.sub("", text[start:end])), _barred(text[start:end])) for start, end in found]
             for c, flat in zip(columns, (spans, places, labels, chained, features, keys)):
                 c.append([x for s in flat for x in s] if flat and isinstance(flat[0], (tuple, list)) else [int(x) for x in flat])
         arrays = [pa.array(c, pa.list_(pa.int64() if i == 5 else pa.int32())) for i, c in enumerate(columns)]
@@ -200,12 +210,16 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, features: np.ndarray, labels: np.ndarray, chains: np.ndarray, skips: np.ndarray) -> np.ndarray:
+    def marginals(self, features: np.ndarray, labels: np.ndarray, chains: np.ndarray, skips: np.ndarray,
+                  barred: np.ndarray | None = None) -> np.ndarray:
         """Probabilities of the labels of every node after ``ROUNDS`` rounds of message passing.
 
-        A node's result depends on its own document alone.
+        ``labels`` from 0 on are held; ``barred`` labels above 0 are ruled out.  A node's
+        result depends on its own document alone.
         """
         own = self.unary[features].sum(axis=1)
+        if barred is not None:
+            own[barred > 0, barred[barred > 0]] = -1e9
         held = labels >= 0
         own[held] = -1e9
         own[held, labels[held]] = 0.0
@@ -231,12 +245,13 @@ class Field:
 
 
 def fit_field(features: np.ndarray, labels: np.ndarray, chains: np.ndarray, skips: np.ndarray,
-              steps: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+              steps: int = 300, rate: float = 0.1, ridge: float = 2e-4) -> Field:
     """Weights of the greatest pseudo-likelihood: each label given its neighbours' labels."""
     n, many = max(1, len(labels)), len(KINDS) + 1
     labels = np.maximum(labels, 0)
     shapes = [(WIDTH, many), (many, many), (many, many)]
-    weights = [np.zeros(s) for s in shapes]
+    prior = [np.zeros(shapes[0]), np.zeros(shapes[1]), AGREE * np.eye(many)]
+    weights = [w.copy() for w in prior]
     first, second = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
     one = np.eye(many)[labels]
     columns = features.ravel()
@@ -257,7 +272,7 @@ def fit_field(features: np.ndarray, labels: np.ndarray, chains: np.ndarray, skip
         np.add.at(pulls[2], labels[skips[:, 1]], wrong[skips[:, 0]])
         pulls[2] = (pulls[2] + pulls[2].T) / 2
         for i, pull in enumerate(pulls):
-            pull = pull / n + ridge * weights[i]
+            pull = pull / n + ridge * (weights[i] - prior[i])
             first[i] = 0.9 * first[i] + 0.1 * pull
             second[i] = 0.999 * second[i] + 0.001 * pull ** 2
             weights[i] = weights[i] - rate * (first[i] / (1 - 0.9 ** step)) / (np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-9)
@@ -266,7 +281,7 @@ def fit_field(features: np.ndarray, labels: np.ndarray, chains: np.ndarray, skip
 
 def _joined(places: list[np.ndarray], chained: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The document of every node, chain edges and skip edges of documents laid end to end."""
-    owner = np.repeat(np.arange(len(places)), [len(p) // 3 for p in places])
+    owner = np.repeat(np.arange(len(places)), [len(p) // PLACE for p in places])
     second = np.flatnonzero(chained)
     return owner, np.stack([second - 1, second], axis=1), skip_edges(keys.reshape(-1, KEYS), owner)
 
@@ -276,7 +291,7 @@ def learn(nodes: DataFrame) -> Field:
     few = nodes.where(F.size("labels") > 0)
     mixed = F.xxhash64("features", "keys")
     few = few.select(*[F.slice(c, 1, SAMPLE_NODES * m).alias(c) for c, m in (
-        ("places", 3), ("labels", 1), ("chained", 1), ("features", FEATURES), ("keys", KEYS))], mixed.alias("order"))
+        ("places", PLACE), ("labels", 1), ("chained", 1), ("features", FEATURES), ("keys", KEYS))], mixed.alias("order"))
     rows = few.orderBy("order", "labels", "places").limit(SAMPLE).collect()
     flat = {c: np.array([x for r in rows for x in r[c]], np.int64) for c in ("labels", "chained", "features", "keys")}
     _, chains, skips = _joined([np.array(r["places"]) for r in rows], flat["chained"], flat["keys"])
@@ -293,7 +308,7 @@ def _added(found: np.ndarray, labels: np.ndarray, chained: np.ndarray, likely: n
     kind = likely.argmax(axis=1)
     sure = (labels < 0) & (kind > 0) & (likely[np.arange(len(kind)), kind] >= SURE)
     for i in np.flatnonzero(sure):
-        start, end, digits = found[i].tolist()
+        start, end, digits, _ = found[i].tolist()
         held += digits
         if out and chained[i] and sure[i - 1] and kind[i - 1] == kind[i] and held <= DIGITS[kind[i] - 1]:
             out[-1][2] = end
@@ -313,13 +328,14 @@ def _labelled(sent):
             places = [np.array(p, np.int64).reshape(-1) for p in batch.column("places").to_pylist()]
             flat = {c: batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("labels", "chained", "features", "keys")}
             owner, chains, skips = _joined(places, flat["chained"], flat["keys"])
-            likely = sent.value.marginals(flat["features"].reshape(-1, FEATURES), flat["labels"], chains, skips)
+            barred = np.concatenate([p.reshape(-1, PLACE)[:, 3] for p in places]) if places else np.zeros(0, np.int64)
+            likely = sent.value.marginals(flat["features"].reshape(-1, FEATURES), flat["labels"], chains, skips, barred)
             ends = np.searchsorted(owner, np.arange(len(places) + 1))
             counts, digests, spans, added = [], [], [], []
             for i, base in enumerate(batch.column("base").to_pylist()):
                 base = list(zip(base[::3], base[1::3], base[2::3]))
                 part = slice(ends[i], ends[i + 1])
-                more = _added(places[i].reshape(-1, 3), flat["labels"][part], flat["chained"][part], likely[part])
+                more = _added(places[i].reshape(-1, PLACE), flat["labels"][part], flat["chained"][part], likely[part])
                 counts.append([sum(s[1] == k for s in base) for k in range(len(KINDS))])
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
                 spans.append(written(base + more))
