@@ -27,7 +27,7 @@ from tallyrank.session import materialize
 KINDS = ("email", "ip", "card", "phone")
 #: Digits of a span of several tokens, at most; addresses are one token.
 DIGITS = (0, 0, 19, 15)
-#: Documents with nodes that the weights are fitted on, and nodes of one, at most.
+#: Documents with nodes that the weights are fitted on, about (twice as many at most), and nodes of one, at most.
 SAMPLE, SAMPLE_NODES = 4_000, 64
 #: Columns of the hashed features; features, keys and numbers that place a node (start, end, digits, barred label).
 WIDTH, FEATURES, KEYS, PLACE = 1_024, 7, 3, 4
@@ -289,10 +289,12 @@ def _joined(places: list[np.ndarray], chained: np.ndarray, keys: np.ndarray) ->
 def learn(nodes: DataFrame) -> Field:
     """The field of at most ``SAMPLE`` documents with nodes, and the first ``SAMPLE_NODES`` nodes of each."""
     few = nodes.where(F.size("labels") > 0)
-    mixed = F.xxhash64("features", "keys")
+    mixed = F.xxhash64("doc_id", "features", "keys")
+    # Few rows pass the hash, so that few are sorted wherever they lie.
+    few = few.where(F.pmod(mixed, F.lit(2 ** 40)) <= int(2 ** 40 * min(1.0, SAMPLE / max(1, few.count()))))
     few = few.select(*[F.slice(c, 1, SAMPLE_NODES * m).alias(c) for c, m in (
         ("places", PLACE), ("labels", 1), ("chained", 1), ("features", FEATURES), ("keys", KEYS))], mixed.alias("order"))
-    rows = few.orderBy("order", "labels", "places").limit(SAMPLE).collect()
+    rows = few.orderBy("order", "labels", "places").limit(2 * SAMPLE).collect()
     flat = {c: np.array([x for r in rows for x in r[c]], np.int64) for c in ("labels", "chained", "features", "keys")}
     _, chains, skips = _joined([np.array(r["places"]) for r in rows], flat["chained"], flat["keys"])
     return fit_field(flat["features"].reshape(-1, FEATURES), flat["labels"], chains, skips)
