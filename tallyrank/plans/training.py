@@ -12,14 +12,13 @@ from functools import cached_property
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-    RandomForestClassificationModel, RandomForestClassifier,
+    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyrank.contract import SEED
-from tallyrank.operators import balancing, evaluation as ev, isolation, scaling, split
+from tallyrank.operators import balancing, boosting, evaluation as ev, isolation, scaling, split
 from tallyrank.session import materialize, scratch_path
 
 LABEL = "class"
@@ -44,6 +43,9 @@ class Settings:
     rate: float = 0.1
     row_share: float = 0.8
     column_share: float = 0.8
+    bins: int = 64
+    patience: int = 10
+    positive_weight: float = 1.0
     validation_share: float = 0.1
     isolation_trees: int = 100
     isolation_sample: int = 256
@@ -85,30 +87,29 @@ def fit_forest(balanced: DataFrame, s: Settings, weight: str | None = None):
     return rf.fit(balanced)
 
 
-def fit_boosted(balanced: DataFrame, s: Settings, validation: str | None = None):
-    """Boosted trees; stops early when ``validation`` marks held-out rows."""
-    gbt = GBTClassifier(
-        labelCol=LABEL, maxIter=s.rounds, maxDepth=s.depth, stepSize=s.rate,
-        subsamplingRate=s.row_share, featureSubsetStrategy=str(s.column_share), seed=s.seed,
-    )
-    if validation:
-        # Zero tolerance: stop only once the held-out loss gets worse.
-        gbt.set(gbt.validationTol, 0.0)
-        gbt = gbt.setValidationIndicatorCol(validation)
-    return gbt.fit(balanced)
+def class_weighted(rows: DataFrame) -> DataFrame:
+    """``weight`` beside the rows: their number over that of the classes and of the class."""
+    counts = {r[LABEL]: r["count"] for r in rows.groupBy(LABEL).count().collect()}
+    n = sum(counts.values())
+    pairs = [F.lit(x) for label, c in counts.items() for x in (label, n / (len(counts) * c))]
+    return rows.withColumn("weight", F.create_map(*pairs)[F.col(LABEL)] if pairs else F.lit(1.0))
+
+
+def fit_boosted(rows: DataFrame, s: Settings) -> boosting.BoostedTrees:
+    """Boosted trees; rows marked ``held_out`` are kept back and end the rounds."""
+    return boosting.fit(rows, boosting.BoostSettings(
+        rounds=s.rounds, depth=s.depth, rate=s.rate, row_share=s.row_share, column_share=s.column_share,
+        bins=s.bins, patience=s.patience, positive_weight=s.positive_weight, seed=s.seed,
+    ), label=LABEL)
 
 
-def fit_boosted_held_out(rows: DataFrame, s: Settings):
+def fit_boosted_held_out(rows: DataFrame, s: Settings) -> boosting.BoostedTrees:
     """Boosted trees on (id, x, class) rows, stopped early on a share held out of them."""
     marked = split.StratifiedSplit(LABEL, ["id"], [s.validation_share], s.seed + 2)
     marked = marked.fit(rows).apply(rows, "part")
     held = marked.filter("part = 0").select("x", LABEL, F.lit(True).alias("held_out"))
     used = balancing.balance(marked.filter("part = 1").drop("part"), LABEL, seed=s.seed)
-    both = with_features(used.withColumn("held_out", F.lit(False)).unionByName(held)).persist()
-    try:
-        return fit_boosted(both, s, "held_out")
-    finally:
-        both.unpersist()
+    return fit_boosted(used.withColumn("held_out", F.lit(False)).unionByName(held), s)
 
 
 @dataclass
@@ -149,7 +150,7 @@ class Bases:
 
     logistic_regression: LogisticRegressionModel
     random_forest: RandomForestClassificationModel
-    xgboost: GBTClassificationModel
+    xgboost: boosting.BoostedTrees
     isolation_forest: isolation.IsolationForest
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -157,12 +158,12 @@ class Bases:
         keep = [F.col(c) for c in df.columns]
         out = with_features(df)
         names = []
-        for name in ("logistic_regression", "random_forest", "xgboost"):
+        for name in ("logistic_regression", "random_forest"):
             model = getattr(self, name).copy()
             model.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_{name}")
             out = model.transform(out)
             names.append(positive(f"_{name}").alias(name))
-        out = out.select(*keep, *names)
+        out = out.select(*keep, *names, self.xgboost.probability().alias("xgboost"))
         forest = self.isolation_forest
         return (
             forest.score(out, "_raw")
@@ -171,8 +172,9 @@ class Bases:
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for name in BASES[:3]:
+        for name in BASES[:2]:
             getattr(self, name).write().save(f"{path}/{name}")
+        self.xgboost.save(spark, f"{path}/xgboost")
         self.isolation_forest.save(spark, f"{path}/isolation_forest")
 
     @classmethod
@@ -180,7 +182,7 @@ class Bases:
         return cls(
             LogisticRegressionModel.load(f"{path}/logistic_regression"),
             RandomForestClassificationModel.load(f"{path}/random_forest"),
-            GBTClassificationModel.load(f"{path}/xgboost"),
+            boosting.BoostedTrees.load(spark, f"{path}/xgboost"),
             isolation.IsolationForest.load(spark, f"{path}/isolation_forest"),
         )
 
@@ -231,9 +233,10 @@ def fit_bases(rows: DataFrame, s: Settings) -> Bases:
     balanced = with_features(balancing.balance(rows, LABEL, seed=s.seed)).persist()
     n = balanced.count()
     try:
+        weighted = class_weighted(balanced)
         return Bases(
-            fit_logistic(balanced, n, s),
-            fit_forest(balanced, s),
+            fit_logistic(weighted, n, s, "weight"),
+            fit_forest(weighted, s, "weight"),
             fit_boosted_held_out(rows, s),
             isolation.fit(rows, s.isolation_trees, s.isolation_sample, s.contamination, s.seed),
         )
@@ -281,7 +284,7 @@ class TrainingRun:
     @cached_property
     def balanced(self) -> DataFrame:
         rows = balancing.balance(self.train.select("id", "x", LABEL), LABEL, seed=self.settings.seed)
-        return with_features(materialize(rows, "training-balanced"))
+        return class_weighted(with_features(materialize(rows, "training-balanced")))
 
     @cached_property
     def balanced_rows(self) -> int:
@@ -289,15 +292,15 @@ class TrainingRun:
 
     @cached_property
     def logistic(self):
-        return fit_logistic(self.balanced, self.balanced_rows, self.settings)
+        return fit_logistic(self.balanced, self.balanced_rows, self.settings, "weight")
 
     def logistic_with(self, penalty: str):
         s = Settings(**{**self.settings.__dict__, "penalty": penalty})
-        return fit_logistic(self.balanced, self.balanced_rows, s)
+        return fit_logistic(self.balanced, self.balanced_rows, s, "weight")
 
     @cached_property
     def forest(self):
-        return fit_forest(self.balanced, self.settings)
+        return fit_forest(self.balanced, self.settings, "weight")
 
     @cached_property
     def boosted(self):
@@ -352,12 +355,12 @@ class TrainingRun:
         """One base model and the scaler, read back from where they were stored."""
         path = save_path(self.spark, f"stored-{name}")
         self.scaler.save(self.spark, f"{path}/scaler")
-        if name == "isolation_forest":
-            self.isolated.save(self.spark, f"{path}/model")
-            model = isolation.IsolationForest.load(self.spark, f"{path}/model")
+        fitted = getattr(self, {"logistic_regression": "logistic", "random_forest": "forest",
+                                "xgboost": "boosted", "isolation_forest": "isolated"}[name])
+        if name in ("xgboost", "isolation_forest"):
+            fitted.save(self.spark, f"{path}/model")
+            model = type(fitted).load(self.spark, f"{path}/model")
         else:
-            fitted = {"logistic_regression": "logistic", "random_forest": "forest", "xgboost": "boosted"}
-            fitted = getattr(self, fitted[name])
             fitted.write().save(f"{path}/model")
             model = type(fitted).load(f"{path}/model")
         return model, Scaler.load(self.spark, f"{path}/scaler")
@@ -385,24 +388,12 @@ def area(scored: DataFrame, names: list[str]) -> DataFrame:
     return ev.roc_auc(long_scores(scored, names))
 
 
-def boosted_importance(model: GBTClassificationModel, path: str) -> DataFrame:
-    """(kind, feature, value) over the split nodes of the saved trees.
+def boosted_importance(spark: SparkSession, model: boosting.BoostedTrees) -> DataFrame:
+    """(kind, feature, value) over the split nodes.
 
     weight counts splits; gain and cover are means, their totals are sums.
     """
-    spark = SparkSession.active()
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*")
-    splits = nodes.filter(F.col("split.featureIndex") >= 0)
-    stats = splits.groupBy(F.col("split.featureIndex").alias("feature")).agg(
-        F.count("*").cast("double").alias("weight"),
-        F.avg("gain").alias("gain"),
-        F.avg(F.col("rawCount").cast("double")).alias("cover"),
-        F.sum("gain").alias("total_gain"),
-        F.sum(F.col("rawCount").cast("double")).alias("total_cover"),
-    )
-    kinds = ["weight", "gain", "cover", "total_gain", "total_cover"]
-    return stats.unpivot(["feature"], kinds, "kind", "value").select("kind", "feature", "value")
+    return spark.createDataFrame(model.importance(), "kind string, feature int, value double")
 
 
 def vector_rows(spark: SparkSession, model: str, kind: str, values) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from tallyrank.contract import SEED, TX_KEY
 from tallyrank.functions.numeric import ratio, rounded
-from tallyrank.operators import balancing, evaluation as ev, isolation, neighbours
+from tallyrank.operators import balancing, boosting, evaluation as ev, isolation, neighbours
 from tallyrank.operators.preferences import user_product_affinity
 from tallyrank.plans import training as tr
 from tallyrank.registry.base import query
@@ -182,15 +184,45 @@ def train_random_forest(spark, root):
 
 @query("train_gbt")
 def train_gbt(spark, root):
-    """Weight of each kept boosting round."""
+    """Loss of every boosting round tried, on train and held-out rows, and whether its trees are kept."""
     model = _run(spark, root).boosted
-    return tr.vector_rows(spark, "xgboost", "tree_weight", model.treeWeights)
+    rows = [(r, float(train), held, r <= model.rounds) for r, train, held in model.history]
+    return spark.createDataFrame(rows, "round int, train_loss double, held_out_loss double, kept boolean")
+
+
+BINS = 16
+_CUT = f"lo + (hi - lo) * i / {BINS}"
+
+
+@query("boosted_split_gains", with_views("emb", f"""
+  , cells AS (SELECT unnest(range(64)) AS feature, unnest(x) AS v, class FROM emb),
+  bounds AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM cells GROUP BY feature),
+  cut AS (SELECT feature, len(list_filter(range(1, {BINS}), lambda i: v > {_CUT})) AS bin, class
+    FROM cells JOIN bounds USING (feature)),
+  sums AS (SELECT feature, bin, sum(0.5 - class) AS g, sum(0.25) AS h FROM cut GROUP BY feature, bin),
+  run AS (SELECT *, sum(g) OVER below AS gl, sum(h) OVER below AS hl,
+      sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht
+    FROM sums WINDOW below AS (PARTITION BY feature ORDER BY bin))
+  SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, {R("g")} AS gradient, {R("h")} AS curvature,
+    {R("(gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) / 2")} AS gain
+  FROM run WHERE hl >= 1 AND ht - hl >= 1"""))
+def boosted_split_gains(spark, root):
+    """Histograms of the first boosting round, and the gain of a cut after every bin."""
+    rows = _rows(spark, root)
+    cells = rows.select(F.posexplode("x").alias("feature", "v"))
+    ends = cells.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("feature").collect()
+    edges = boosting.equal_edges([r["lo"] for r in ends], [r["hi"] for r in ends], BINS)
+    s = boosting.BoostSettings(row_share=1.0, column_share=1.0)
+    g, h = boosting.Booster(rows, s, edges).root_sums()
+    gains = boosting.split_gains(g, h, s)
+    met = [(int(f), int(b), *map(float, (g[f, b], h[f, b], gains[f, b]))) for f, b in zip(*((h > 0) & (gains > -math.inf)).nonzero())]
+    found = spark.createDataFrame(met, "feature int, bin int, gradient double, curvature double, gain double")
+    return found.withColumns({c: rounded(c) for c in ("gradient", "curvature", "gain")})
 
 
 @query("feature_importance")
 def feature_importance(spark, root):
-    run = _run(spark, root)
-    boosted = tr.boosted_importance(run.boosted, tr.save_path(spark, "boosted"))
+    boosted = tr.boosted_importance(spark, _run(spark, root).boosted)
     return (
         train_logistic(spark, root)
         .unionByName(train_random_forest(spark, root))
@@ -245,7 +277,7 @@ def training_report(spark, root):
         F.sum((F.col("split") == "test").cast("bigint")).alias("test_records"),
         F.first(F.size("x")).alias("features"),
     ).withColumn("balanced_records", F.lit(run.balanced_rows).cast("bigint"))
-    trees = {"random_forest": run.forest.getNumTrees, "xgboost": run.boosted.getNumTrees,
+    trees = {"random_forest": run.forest.getNumTrees, "xgboost": run.boosted.rounds,
              "isolation_forest": run.settings.isolation_trees}
     pairs = [F.lit(x) for kv in trees.items() for x in kv]
     named = sizes.select(F.struct("*").alias("s")).scalar()
@@ -257,12 +289,11 @@ def training_report(spark, root):
 
 @query("training_history")
 def training_history(spark, root):
-    """Loss by iteration: logistic objective, boosted loss on the test rows."""
+    """Loss by iteration: logistic objective, boosted loss on the held-out rows."""
     run = _run(spark, root)
     loss = run.logistic.summary.objectiveHistory
-    boosted = run.boosted.evaluateEachIteration(tr.with_features(run.test))
     rows = [("logistic_regression", i, float(v)) for i, v in enumerate(loss)]
-    rows += [("xgboost", i, float(v)) for i, v in enumerate(boosted)]
+    rows += [("xgboost", r, held) for r, _, held in run.boosted.history]
     return spark.createDataFrame(rows, "model string, iteration int, loss double")
 
 
