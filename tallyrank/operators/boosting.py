@@ -11,6 +11,7 @@ and the rounds up to the best are kept.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -129,42 +130,53 @@ def _loss(y: np.ndarray, score: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, np.where(y > 0, -score, score))
 
 
-def _level(sent, s: BoostSettings, rnd: int, level: int, width: int, most: int, used: np.ndarray):
-    """Sums by (node of the level, feature, bin) as ``key, g, h``; at the root also losses under keys -1 and -2."""
-
-    def run(batches):
-        trees, growing = sent.value
-        nodes = 2 ** level
-        size = nodes * width * most
-        g_sum, h_sum, loss = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros((2, 2), np.int64)
-        for batch in batches:
-            bins, y = _arrays(batch.column("bins"), np.int64), batch.column("y").to_numpy()
-            held = batch.column("held").to_numpy(zero_copy_only=False)
-            score = _scores(batch, bins, trees, s)
-            weight = np.where(y > 0, s.positive_weight, 1.0)
-            if level == 0:
-                lost = np.rint(weight * _loss(y, score) / UNIT).astype(np.int64)
-                units = np.rint(weight / UNIT).astype(np.int64)
-                for i, rows in enumerate((~held, held)):
-                    loss[i] += lost[rows].sum(), units[rows].sum()
-            at = growing.node(bins, level) - nodes
-            use = ~held & (at >= 0) & (_mixed(batch.column("mixed").to_numpy(), s.seed + rnd) < s.row_share)
-            p = 1.0 / (1.0 + np.exp(-score))
-            g = np.rint(weight * (p - y) / UNIT).astype(np.int64)[use]
-            h = np.rint(weight * p * (1.0 - p) / UNIT).astype(np.int64)[use]
-            start = at[use] * (width * most)
-            for f in used:
-                key = start + f * most + bins[use, f]
-                np.add.at(g_sum, key, g)
-                np.add.at(h_sum, key, h)
-        keys = np.flatnonzero(h_sum)
-        more = [-1, -2] if level == 0 else []
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([keys, np.array(more, np.int64)])),
-             pa.array(np.concatenate([g_sum[keys], loss[:len(more), 0]])), pa.array(np.concatenate([h_sum[keys], loss[:len(more), 1]]))],
-            ["key", "g", "h"])
-
-    return run
+class _Sums:
+    """Sums by (node of a level, feature, bin) of a task's rows, in units; at the root their losses and weights too."""
+
+    def __init__(self, s: BoostSettings, rnd: int, level: int, width: int, most: int, used: np.ndarray):
+        self.s, self.rnd, self.level, self.used, self.width, self.most = s, rnd, level, used, width, most
+        self.g, self.h = (np.zeros(2 ** level * width * most, np.int64) for _ in range(2))
+        self.loss = np.zeros((2, 2), np.int64)
+
+    def add(self, batch: pa.RecordBatch, trees: list[_Tree], growing: _Tree) -> None:
+        s, nodes = self.s, 2 ** self.level
+        bins, y = _arrays(batch.column("bins"), np.int64), batch.column("y").to_numpy()
+        held = batch.column("held").to_numpy(zero_copy_only=False)
+        score = _scores(batch, bins, trees, s)
+        weight = np.where(y > 0, s.positive_weight, 1.0)
+        if self.level == 0:
+            lost = np.rint(weight * _loss(y, score) / UNIT).astype(np.int64)
+            units = np.rint(weight / UNIT).astype(np.int64)
+            for i, rows in enumerate((~held, held)):
+                self.loss[i] += lost[rows].sum(), units[rows].sum()
+        at = growing.node(bins, self.level) - nodes
+        use = ~held & (at >= 0) & (_mixed(batch.column("mixed").to_numpy(), s.seed + self.rnd) < s.row_share)
+        p = 1.0 / (1.0 + np.exp(-score))
+        g = np.rint(weight * (p - y) / UNIT).astype(np.int64)[use]
+        h = np.rint(weight * p * (1.0 - p) / UNIT).astype(np.int64)[use]
+        start = at[use] * (self.width * self.most)
+        for f in self.used:
+            key = start + f * self.most + bins[use, f]
+            np.add.at(self.g, key, g)
+            np.add.at(self.h, key, h)
+
+    def rows(self) -> pa.RecordBatch:
+        """``key, g, h`` of the sums that are not zero; losses under keys -1 and -2."""
+        keys = np.flatnonzero(self.h)
+        more = np.array([-1, -2] if self.level == 0 else [], np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([keys, more])), pa.array(np.concatenate([self.g[keys], self.loss[:len(more), 0]])),
+             pa.array(np.concatenate([self.h[keys], self.loss[:len(more), 1]]))], ["key", "g", "h"])
+
+    def read(self, table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[float, float]]]:
+        """Gradients and curvatures by (node, feature, bin), and losses, of added-up ``rows``."""
+        key, *two = (table.column(c).to_numpy() for c in ("key", "g", "h"))
+        out = np.zeros((2, len(self.g)))
+        own = key >= 0
+        for i in range(2):
+            out[i, key[own]] = two[i][own] * UNIT
+        losses = {int(k): (a * UNIT, b * UNIT) for k, a, b in zip(key[~own], two[0][~own], two[1][~own])}
+        return *out.reshape(2, 2 ** self.level, self.width, self.most), losses
 
 
 def split_gains(g: np.ndarray, h: np.ndarray, s: BoostSettings) -> np.ndarray:
@@ -176,6 +188,41 @@ def split_gains(g: np.ndarray, h: np.ndarray, s: BoostSettings) -> np.ndarray:
     return np.where((hl >= s.least_curvature) & (hr >= s.least_curvature), gain, -np.inf)
 
 
+def _grown(s: BoostSettings, rnd: int, width: int, most: int, sums):
+    """A tree, its nodes' gain and cover, and the losses before it; ``sums(level, tree, features)`` gives a level's sums."""
+    tree, stats = _Tree.of(s.depth), {}
+    order = np.argsort(_mixed(np.arange(width), s.seed + 7919 * (rnd + 1)), kind="stable")
+    used = np.sort(order[:max(1, int(np.ceil(s.column_share * width)))])
+    losses: tuple[float, float | None] = (0.0, None)
+    for level in range(s.depth):
+        g, h, lost = sums(level, tree, used)
+        if level == 0:
+            mean = [lost[k][0] / lost[k][1] if lost.get(k, (0, 0))[1] else None for k in (-1, -2)]
+            losses = (mean[0] or 0.0, mean[1])
+            total = g[0, used[0]].sum(), h[0, used[0]].sum()
+            tree.value[1], stats[1] = -total[0] / (total[1] + s.ridge), (0.0, float(total[1]))
+            if rnd == s.rounds:  # the losses of the last round are all that is asked for
+                break
+        gains = split_gains(g[:, used], h[:, used], s)
+        grown = False
+        for n in range(2 ** level):
+            node = 2 ** level + n
+            place = int(np.argmax(gains[n]))
+            f, cut = used[place // most], place % most
+            gain = gains[n].ravel()[place]
+            if not gain > 1e-12:
+                continue
+            grown = True
+            tree.feature[node], tree.cut[node] = f, cut
+            stats[node] = (float(gain), float(h[n, f].sum()))
+            for child, part in ((2 * node, slice(None, cut + 1)), (2 * node + 1, slice(cut + 1, None))):
+                gc, hc = g[n, f, part].sum(), h[n, f, part].sum()
+                tree.value[child], stats[child] = -gc / (hc + s.ridge), (0.0, float(hc))
+        if not grown:
+            break
+    return tree, stats, losses
+
+
 @dataclass
 class BoostedTrees:
     """Fitted trees as a table of nodes, and the losses of every round tried.
@@ -244,34 +291,36 @@ class BoostedTrees:
 class Booster:
     """One fit: the binned rows, the trees so far and what they cost."""
 
-    def __init__(self, rows: DataFrame, settings: BoostSettings, edges: list[np.ndarray] | None = None, label: str = "class"):
+    def __init__(self, rows: DataFrame, settings: BoostSettings, edges: list[np.ndarray] | None = None, label: str = "class",
+                 task_values: int = TASK_VALUES):
         self.s = settings
         train = rows.filter(~F.col("held_out")) if "held_out" in rows.columns else rows
         self.edges = quantile_edges(train, settings.bins) if edges is None else edges
         self.width, self.most = len(self.edges), max([len(e) + 1 for e in self.edges], default=1)
         self.rows = materialize(binned(rows, self.edges, label), "binned")
         # Tasks of about as many values each: a round is many short jobs.
-        tasks = -(-self.rows.count() * max(1, self.width) // TASK_VALUES)
-        if tasks < len(self.rows.inputFiles()):
-            self.rows = materialize(self.rows.coalesce(max(1, tasks)), "binned")
+        self.tasks = max(1, -(-self.rows.count() * max(1, self.width) // task_values))
+        if self.tasks < len(self.rows.inputFiles()):
+            self.rows = materialize(self.rows.coalesce(self.tasks), "binned")
         self.pending: list[_Tree] = []
         self.trees: list[_Tree] = []
         self.gains: list[dict[int, tuple[float, float]]] = []
 
-    def sums(self, rnd: int, level: int, growing: _Tree, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[float, float]]]:
-        """Gradients and curvatures by (node, feature, bin), and at the root the losses and weights of train and held-out rows."""
+    def sums(self, rnd: int, level: int, growing: _Tree, used: np.ndarray):
+        """The sums of a level over all rows: one aggregate."""
         sent = self.rows.sparkSession.sparkContext.broadcast((self.pending, growing))
-        run = _level(sent, self.s, rnd, level, self.width, self.most, used)
+        args = (self.s, rnd, level, self.width, self.most, used)
+
+        def run(batches):
+            part = _Sums(*args)
+            for batch in batches:
+                part.add(batch, *sent.value)
+            yield part.rows()
+
         found = self.rows.mapInArrow(run, "key long, g long, h long").groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
         table = found.toArrow()
         sent.destroy()
-        key, *two = (table.column(c).to_numpy() for c in ("key", "g", "h"))
-        out = np.zeros((2, 2 ** level * self.width * self.most))
-        own = key >= 0
-        for i in range(2):
-            out[i, key[own]] = two[i][own] * UNIT
-        losses = {int(k): (a * UNIT, b * UNIT) for k, a, b in zip(key[~own], two[0][~own], two[1][~own])}
-        return *out.reshape(2, 2 ** level, self.width, self.most), losses
+        return _Sums(*args).read(table)
 
     def root_sums(self) -> tuple[np.ndarray, np.ndarray]:
         """Gradients and curvatures of all rows by (feature, bin), under the scores so far."""
@@ -279,38 +328,29 @@ class Booster:
         return g[0], h[0]
 
     def grow(self, rnd: int) -> tuple[_Tree, dict[int, tuple[float, float]], tuple[float, float | None]]:
-        """A tree on the current scores, its nodes' gain and cover, and the losses before it."""
-        s, tree, stats = self.s, _Tree.of(self.s.depth), {}
-        order = np.argsort(_mixed(np.arange(self.width), s.seed + 7919 * (rnd + 1)), kind="stable")
-        used = np.sort(order[:max(1, int(np.ceil(s.column_share * self.width)))])
-        losses: tuple[float, float | None] = (0.0, None)
-        for level in range(s.depth):
-            g, h, lost = self.sums(rnd, level, tree, used)
-            if level == 0:
-                mean = [lost[k][0] / lost[k][1] if lost.get(k, (0, 0))[1] else None for k in (-1, -2)]
-                losses = (mean[0] or 0.0, mean[1])
-                total = g[0, used[0]].sum(), h[0, used[0]].sum()
-                tree.value[1], stats[1] = -total[0] / (total[1] + s.ridge), (0.0, float(total[1]))
-                if rnd == s.rounds:  # the losses of the last round are all that is asked for
-                    break
-            gains = split_gains(g[:, used], h[:, used], s)
-            grown = False
-            for n in range(2 ** level):
-                node = 2 ** level + n
-                place = int(np.argmax(gains[n]))
-                f, cut = used[place // self.most], place % self.most
-                gain = gains[n].ravel()[place]
-                if not gain > 1e-12:
-                    continue
-                grown = True
-                tree.feature[node], tree.cut[node] = f, cut
-                stats[node] = (float(gain), float(h[n, f].sum()))
-                for child, part in ((2 * node, slice(None, cut + 1)), (2 * node + 1, slice(cut + 1, None))):
-                    gc, hc = g[n, f, part].sum(), h[n, f, part].sum()
-                    tree.value[child], stats[child] = -gc / (hc + s.ridge), (0.0, float(hc))
-            if not grown:
-                break
-        return tree, stats, losses
+        """A tree on the current scores, its nodes' gain and cover, and the losses before it.
+
+        Rows that are one task's worth need no aggregates between the levels: the task
+        adds up the same whole numbers and picks the same splits.
+        """
+        if self.tasks > 1:
+            return _grown(self.s, rnd, self.width, self.most, lambda *a: self.sums(rnd, *a))
+        sent, args = self.rows.sparkSession.sparkContext.broadcast(self.pending), (self.s, rnd, self.width, self.most)
+
+        def run(batches):
+            held = list(batches)
+
+            def sums(level, growing, used):
+                part = _Sums(args[0], rnd, level, *args[2:], used)
+                for batch in held:
+                    part.add(batch, sent.value, growing)
+                return part.read(part.rows())
+
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_grown(*args, sums))])], ["tree"])
+
+        tree = self.rows.coalesce(1).mapInArrow(run, "tree binary").first()["tree"]
+        sent.destroy()
+        return pickle.loads(tree)
 
     def add(self, tree: _Tree, stats: dict[int, tuple[float, float]]) -> None:
         self.trees.append(tree)
@@ -339,7 +379,8 @@ class Booster:
         return BoostedTrees(pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")]), self.s.rate, self.width, history)
 
 
-def fit(rows: DataFrame, settings: BoostSettings | None = None, edges: list[np.ndarray] | None = None, label: str = "class") -> BoostedTrees:
+def fit(rows: DataFrame, settings: BoostSettings | None = None, edges: list[np.ndarray] | None = None, label: str = "class",
+        task_values: int = TASK_VALUES) -> BoostedTrees:
     """Boosted trees on (x, label[, id, held_out]) rows.
 
     Rows marked ``held_out`` are never trained on; with some, training ends after
@@ -348,7 +389,7 @@ def fit(rows: DataFrame, settings: BoostSettings | None = None, edges: list[np.n
     ``positive_weight`` as in training.  No rows give a model without trees.
     """
     s = settings or BoostSettings()
-    booster = Booster(rows, s, edges, label)
+    booster = Booster(rows, s, edges, label, task_values)
     history: list[tuple[int, float, float | None]] = []
     best, best_round = np.inf, 0
     for rnd in range(s.rounds + 1):

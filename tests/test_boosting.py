@@ -59,13 +59,13 @@ def loss(p, y, weight=1.0):
     return (w * -np.log(np.where(y > 0, p, 1 - p))).sum() / w.sum()
 
 
-@pytest.mark.parametrize("weight", [1.0, 4.0])
-def test_equals_the_plain_form_and_its_losses(spark, weight):
+@pytest.mark.parametrize("weight, task_values", [(1.0, 4_000_000), (4.0, 500)], ids=["one-task", "weighted-in-many-tasks"])
+def test_equals_the_plain_form_and_its_losses(spark, weight, task_values):
     x, y = data()
     s = BoostSettings(rounds=10, depth=3, rate=0.3, row_share=1.0, column_share=1.0, bins=16, positive_weight=weight)
     edges = equal_edges(x.min(axis=0).tolist(), x.max(axis=0).tolist(), 16)
     df = frame(spark, x, y)
-    model = fit(df, s, edges)
+    model = fit(df, s, edges, task_values=task_values)
     expected = plain(x, y, edges, s)
     got = df.select("id", model.probability().alias("p")).toPandas().sort_values("id")["p"].to_numpy()
     assert model.rounds == 10 and np.abs(got - expected[-1]).max() < 1e-5
@@ -95,7 +95,7 @@ def test_rows_may_lie_anywhere_and_models_can_be_stored(spark):
     x, y = data(300)
     x[5, 2] = np.nan
     s = BoostSettings(rounds=9, depth=3)
-    one, two = fit(frame(spark, x, y), s), fit(frame(spark, x, y).repartition(7), s)
+    one, two = fit(frame(spark, x, y), s), fit(frame(spark, x, y).repartition(7), s, task_values=400)
     pd.testing.assert_frame_equal(one.nodes, two.nodes)
     path = scratch_path(spark, "boosted-test")
     one.save(spark, path)
