@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tallyrank.contract import FIELD_WEIGHTS, HISTORY_LIMIT
 from tallyrank.functions.numeric import ratio
 from tallyrank.functions.vectors import norm
+from tallyrank.operators.ordered import SLACK, rank_brackets
+from tallyrank.session import materialize
 from tallyrank.sources.tables import epoch_seconds
 
 ANY = ""
 HALF_LIFE_DAYS = 180.0
 FULL_STOCK = 50
+# Searches that share one copy of a term's list.
+SEARCHES = 4_096
 
 
 def product_page(
@@ -126,17 +130,20 @@ def query_terms(query: str = "query") -> Column:
     return F.when(F.col(query).isNull() | (F.size(terms) == 0), none).otherwise(terms)
 
 
-def candidates(requests: DataFrame, products: DataFrame) -> DataFrame:
+def candidates(requests: DataFrame, products: DataFrame, slack: int = SLACK) -> DataFrame:
     """(request_id, product_id, position) of the candidate page of every request.
 
     A page skips ``(page - 1) * page_size`` matching products in id order and
     takes ``2 * page_size``.  Work per request is its page, never its matches:
 
-    1. products are listed per (term, category) that is asked for, each list cut
-       at the deepest position any request reads (the cut also runs before the
-       shuffle);
-    2. lists of the terms of a query are merged and cut again;
-    3. requests look their positions up by equality.
+    1. every search (query and category) is as deep as the deepest of its own
+       requests, and every term of it as the deepest search that has the term;
+    2. products of a (term, category) are counted by id range until the ranges that
+       hold its first products are known to within ``slack`` rows; only those
+       products are shuffled and ranked;
+    3. lists of the terms of a search are merged and cut at its depth, a term of
+       many searches in several parts;
+    4. requests look their positions up by equality.
     """
     asked = requests.select(
         "request_id",
@@ -146,24 +153,32 @@ def candidates(requests: DataFrame, products: DataFrame) -> DataFrame:
         F.greatest((F.col("page") - 1) * F.col("page_size"), F.lit(0)).alias("skip"),
         (2 * F.col("page_size")).alias("take"),
     )
-    deepest = asked.agg(F.max(F.col("skip") + F.col("take"))).first()[0] or 0
-    searches = asked.select("q", "cat", F.explode("terms").alias("term")).distinct()
+    deep = asked.groupBy("q", "cat").agg(F.max(F.col("skip") + F.col("take")).alias("depth"), F.first("terms").alias("terms"))
+    searches = materialize(deep.filter("depth > 0").select("q", "cat", "depth", F.explode("terms").alias("term")), "searches")
+    parts = F.ceil(F.count("*") / F.lit(SEARCHES)).cast("int")
+    terms = searches.groupBy("term", "cat").agg(F.max("depth").cast("bigint").alias("need"), parts.alias("parts"))
     listed = products.select(
         "product_id",
         F.explode(F.array("category", F.lit(ANY))).alias("cat"),
         F.array_union(name_terms(), F.array(F.lit(ANY))).alias("terms"),
     ).select("product_id", "cat", F.explode("terms").alias("term"))
-    wanted = listed.join(searches.select("term", "cat").distinct(), ["term", "cat"], "left_semi")
-    by_term = W.partitionBy("term", "cat").orderBy("product_id")
-    lists = wanted.withColumn("rn", F.row_number().over(by_term)).filter(F.col("rn") <= deepest)
+    wanted = listed.join(terms.select("term", "cat"), ["term", "cat"], "left_semi").withColumn("one", F.lit(1))
+    keys = ["term", "cat"]
+    cuts = rank_brackets(wanted, keys, keys, "product_id", "one", terms.select(*keys, "need"), slack)
+    heads = wanted.join(cuts.select(*keys, F.col("high").alias("last")), keys).filter(F.col("product_id") <= F.col("last"))
+    by_term = W.partitionBy(*keys).orderBy("product_id")
+    lists = heads.select(*keys, "product_id").withColumn("rn", F.row_number().over(by_term))
+    lists = lists.join(terms, keys).filter(F.col("rn") <= F.col("need"))
+    lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = searches.join(terms.select(*keys, "parts"), keys)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).drop("parts")
     merged = (
-        lists.drop("rn").join(searches, ["term", "cat"]).select("q", "cat", "product_id").distinct()
+        lists.join(dealt, [*keys, "part"]).filter(F.col("rn") <= F.col("depth"))
+        .select("q", "cat", "depth", "product_id").distinct()
     )
     by_query = W.partitionBy("q", "cat").orderBy("product_id")
-    pages = merged.withColumn("slot", F.row_number().over(by_query)).filter(
-        F.col("slot") <= deepest
-    )
-    slots = asked.select(
+    pages = merged.withColumn("slot", F.row_number().over(by_query)).filter(F.col("slot") <= F.col("depth")).drop("depth")
+    slots = asked.filter("take > 0").select(
         "request_id",
         "q",
         "cat",

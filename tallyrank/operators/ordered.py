@@ -1,9 +1,10 @@
 """Ordered work over whole tables without putting a group into one task.
 
-Three tools, all built on a first pass that counts rows by a coarse bucket:
+All tools are built on passes that count rows by coarse buckets first:
 
 * ``order_points`` finds the key at given ranks of a hash order, per label;
 * ``prefix_sums`` gives running totals over an ordered value;
+* ``rank_brackets`` finds, per key, few rows around a wanted rank;
 * ``values_at_ranks`` and ``group_percentiles`` give exact order statistics.
 """
 
@@ -15,10 +16,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyrank.functions.hashing import HASH_BITS
+from tallyrank.session import materialize
 
 BUCKET_BITS = 16
 # Classes times wanted ranks; a column with more than that is not a label.
 MAX_EDGES = 400
+# Rows of a bracket that one task may order.
+SLACK = 100_000
 
 
 def order_points(
@@ -53,7 +57,7 @@ def order_points(
         return out
 
     def at(r) -> Column:
-        return (F.col(label) == F.lit(r[label])) & (F.col("_b") == F.lit(r["_b"]))
+        return F.col(label).eqNullSafe(F.lit(r[label])) & (F.col("_b") == F.lit(r["_b"]))
 
     spots = {(r[label], r["_b"]): r for r in found}
     in_edge = reduce(lambda a, b: a | b, [at(r) for r in spots.values()])
@@ -177,54 +181,60 @@ def values_at_ranks(df: DataFrame, value: str, ranks: Sequence[int], window: int
     return n, answers
 
 
-def group_percentiles(
-    df: DataFrame, group: str, value: str, shares: Sequence[float], accuracy: int = 10_000
+def rank_brackets(
+    rows: DataFrame, on: Sequence[str], keys: Sequence[str], value: str, weight: str, wanted: DataFrame,
+    slack: int = SLACK, parts: int = 64,
 ) -> DataFrame:
+    """(keys, need, low, high, below): where the running weight of each key reaches ``need``.
+
+    ``rows`` has the columns ``on``, a number ``value`` and its positive ``weight``;
+    ``wanted`` has ``keys``, which hold ``on``, and ``need``.  Between ``low`` and ``high``,
+    both values that occur, lie at most ``slack`` rows (or rows of one value); ``below`` is
+    the weight of the rows under ``low`` and less than ``need``.  A ``need`` beyond the
+    whole weight counts as the whole; keys without rows give none, null values none.
+
+    Each round counts the rows of brackets that are still too large in ``parts`` equal
+    parts, map-side first, and keeps the one that the rank falls into.
+    """
+    column = rows.select(*on, F.col(value).alias("v"), F.col(weight).alias("w")).filter("v is not null")
+    whole = column.groupBy(*on).agg(
+        F.count("*").alias("rows"), F.sum("w").alias("all"), F.min("v").alias("low"), F.max("v").alias("high"))
+    state = wanted.join(whole, list(on)).select(
+        *keys, F.least("need", "all").alias("need"), F.lit(0).cast("bigint").alias("below"), "rows", "low", "high")
+    state = materialize(state, "brackets")
+    half = lambda c: F.col(c).cast("double") * F.lit(0.5)  # noqa: E731  differences can't overflow
+    wide = (half("high") - half("low")) / F.lit(float(parts))
+    open_ = (F.col("rows") > slack) & (wide > 0)
+    while state.filter(open_).limit(1).count():
+        inside = column.join(state.filter(open_).drop("rows"), list(on)).filter(F.col("v").between(F.col("low"), F.col("high")))
+        part = F.least(F.floor((half("v") - half("low")) / wide), F.lit(parts - 1))
+        counted = inside.groupBy(*keys, "need", "below", part.alias("part")).agg(
+            F.count("*").alias("rows"), F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("high"))
+        order = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
+        upto = counted.withColumn("upto", F.col("below") + F.sum("w").over(order))
+        found = upto.filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("w") < F.col("need")))
+        found = found.withColumn("below", F.col("upto") - F.col("w")).select(state.columns)
+        state = materialize(state.filter(~open_).union(found), "brackets")
+    return state.drop("rows")
+
+
+def group_percentiles(df: DataFrame, group: str, value: str, shares: Sequence[float], slack: int = SLACK) -> DataFrame:
     """Exact value at index ``floor(n * share)`` of each group's sorted values.
 
-    Returns (group, share, value).  A mergeable sketch per group brackets every
-    wanted rank; rows outside the brackets are only counted, the few inside are
-    ordered.  No group is ever sorted as a whole.
+    Returns (group, share, value).  Brackets are narrowed by counting until they hold at
+    most ``slack`` distinct values, and only those are ordered, so no task orders more,
+    however large a group is.
     """
-    slack = 4.0 / accuracy
-    lows = F.array(*[F.lit(max(0.0, s - slack)) for s in shares])
-    highs = F.array(*[F.lit(min(1.0, s + slack)) for s in shares])
-    column = df.select(F.col(group), F.col(value).alias("v"))
-    sketch = column.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("v", lows, accuracy).alias("low"),
-        F.percentile_approx("v", highs, accuracy).alias("high"),
-    )
-    targets = sketch.select(
-        group, "n", F.posexplode(F.arrays_zip("low", "high")).alias("i", "edge")
-    ).select(
-        group,
-        F.get(F.array(*[F.lit(s) for s in shares]), F.col("i")).alias("share"),
-        F.least(
-            F.floor(F.col("n") * F.get(F.array(*[F.lit(s) for s in shares]), F.col("i"))),
-            F.col("n") - 1,
-        ).alias("rank"),
-        F.col("edge.low").alias("low"),
-        F.col("edge.high").alias("high"),
-    )
-    # One row per distinct value, then either its bracket position or, below
-    # the bracket, a single counting row.
-    distinct = column.groupBy(group, "v").agg(F.count("*").alias("c"))
-    placed = (
-        distinct.join(targets, group)
-        .filter(F.col("v") <= F.col("high"))
-        .withColumn("v", F.when(F.col("v") >= F.col("low"), F.col("v")))
-        .groupBy(group, "share", "rank", "v")
-        .agg(F.sum("c").alias("c"))
-    )
-    running = (
-        W.partitionBy(group, "share")
-        .orderBy(F.asc_nulls_first("v"))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    distinct = df.select(F.col(group), F.col(value).alias("v")).groupBy(group, "v").agg(F.count("*").alias("w"))
+    distinct = materialize(distinct.filter(F.col("v").isNotNull() & F.col(group).isNotNull()), "distinct")
+    n = distinct.groupBy(group).agg(F.sum("w").alias("n")).withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
+    wanted = n.select(group, "share", (F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1) + 1).alias("need"))
+    brackets = rank_brackets(distinct, [group], [group, "share"], "v", "w", wanted, slack)
+    inside = distinct.join(brackets, group).filter(F.col("v").between(F.col("low"), F.col("high")))
+    running = W.partitionBy(group, "share").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        placed.withColumn("upto", F.sum("c").over(running))
-        .filter((F.col("upto") > F.col("rank")) & F.col("v").isNotNull())
+        inside.withColumn("upto", F.col("below") + F.sum("w").over(running))
+        .filter(F.col("upto") >= F.col("need"))
         .groupBy(group, "share")
         .agg(F.min("v").alias(value))
     )

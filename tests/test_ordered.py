@@ -1,9 +1,10 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
 
 from tallyrank.operators import ordered, split
-from tallyrank.operators.ordered import bucket_of, group_percentiles, prefix_sums, values_at_ranks
+from tallyrank.operators.ordered import bucket_of, group_percentiles, prefix_sums, rank_brackets, values_at_ranks
 
 
 def test_split_takes_the_least_hashes_of_each_label(spark):
@@ -66,10 +67,41 @@ def test_group_percentiles_by_index_with_a_hot_group(spark):
     rows += [("one", 5.0)] + [("same", 2.0)] * 40
     df = spark.createDataFrame(rows, "g string, v double")
     got = {(r["g"], r["share"]): r["v"] for r in
-           group_percentiles(df, "g", "v", [0.5, 0.95, 0.99], accuracy=200).collect()}
+           group_percentiles(df, "g", "v", [0.5, 0.95, 0.99], slack=20).collect()}
     for g in ("hot", "cold", "one", "same"):
         ordered_values = sorted(v for k, v in rows if k == g)
         for s in (0.5, 0.95, 0.99):
             assert got[g, s] == ordered_values[int(len(ordered_values) * s)]
     # The index rule on a hundred values: 51st, 96th and 100th.
     assert [got["cold", s] for s in (0.5, 0.95, 0.99)] == [50.0, 95.0, 99.0]
+
+
+@pytest.mark.parametrize("numbers", [
+    [float(i % 997) * 10.0 ** (i % 7 - 3) for i in range(6_000)], [1.7e308, -1.7e308, 0.0, 5.0] * 9, [2.0] * 500,
+    [2.0 ** 60 + i for i in range(0, 9_000, 256)]], ids=["spread", "ends-of-doubles", "one-value", "close-together"])
+@pytest.mark.parametrize("cast", ["double", "bigint"])
+def test_brackets_hold_the_rank_and_few_rows(spark, numbers, cast):
+    df = spark.createDataFrame([("a", v, 1 + i % 3) for i, v in enumerate(numbers)], "g string, v double, w int")
+    df = df.withColumn("v", F.expr(f"cast(greatest(-9e18, least(9e18, v)) as {cast})"))
+    wanted = spark.createDataFrame([("a", k, n) for k, n in enumerate([1, 2, 700, 10 ** 9])], "g string, k int, need bigint")
+    found = {r["k"]: r for r in rank_brackets(df, ["g"], ["g", "k"], "v", "w", wanted, slack=12).collect()}
+    rows = sorted((r["v"], r["w"]) for r in df.collect())
+    for k, need in enumerate([1, 2, 700, 10 ** 9]):
+        r = found[k]
+        need = min(need, sum(w for _, w in rows))
+        inside = [v for v, _ in rows if r["low"] <= v <= r["high"]]
+        assert r["need"] == need and r["below"] == sum(w for v, w in rows if v < r["low"]) < need
+        assert sum(w for v, w in rows if v <= r["high"]) >= need
+        assert len(inside) <= 12 or inside[0] == inside[-1] or float(inside[0]) == float(inside[-1])
+
+
+def test_no_task_orders_more_than_the_slack(spark):
+    """One group of many distinct values: what the window of the percentiles reads is bounded."""
+    df = spark.range(300_000).select(F.lit("hot").alias("g"), F.expr("id * 7 % 300007 * 0.5").alias("v"))
+    got = {r["share"]: r["v"] for r in group_percentiles(df, "g", "v", [0.5, 0.99], slack=1_000).collect()}
+    values = sorted(i * 7 % 300_007 * 0.5 for i in range(300_000))
+    assert got == {s: values[int(300_000 * s)] for s in (0.5, 0.99)}
+    distinct = df.groupBy("g", "v").agg(F.count("*").alias("w"))
+    wanted = spark.createDataFrame([("hot", 150_001)], "g string, need bigint")
+    r = rank_brackets(distinct, ["g"], ["g"], "v", "w", wanted, slack=1_000).first()
+    assert distinct.filter(F.col("v").between(r["low"], r["high"])).count() <= 1_000

@@ -119,3 +119,30 @@ def test_embedding_lookup_trims_caps_and_keeps_unknown_ids(spark):
     first = sorted((r["position"], r["id_text"], r["text_vec"]) for r in rows if r["lookup_id"] == 7)
     assert first == [(0, "1", [0.5]), (1, "x", None), (2, "9", None)]
     assert sum(r["lookup_id"] == 8 for r in rows) == 100
+
+
+def test_deep_pages_cost_their_depth_and_nothing_of_others(spark, monkeypatch):
+    """A search of depth 2,000 beside shallow ones; few rows of the hot term reach the ranking."""
+    monkeypatch.setattr(catalog, "SEARCHES", 2)
+    rows = [(i * 3, f"{'red' if i % 2 else 'blue'} ring", "A" if i % 3 else "B", "x") for i in range(20_000)]
+    products = spark.createDataFrame(rows, "product_id long, name string, category string, brand string").repartition(5)
+    names = "request_id long, query string, category string, page int, page_size int"
+    asked = [(1, "ring", None, 20, 100), (2, "red", None, 1, 5), (3, "ring red", "B", 2, 50), (4, None, None, 1, 3), (5, "ring blue", None, 1, 4)]
+    read = {}
+    real = catalog.rank_brackets
+
+    def watched(rows, *args):
+        cuts = real(rows, *args)
+        heads = rows.join(cuts, ["term", "cat"]).filter(F.col("product_id") <= F.col("high"))
+        read.update({(r["term"], r["cat"]): r["count"] for r in heads.groupBy("term", "cat").count().collect()})
+        return cuts
+
+    monkeypatch.setattr(catalog, "rank_brackets", watched)
+    got = {}
+    for r in catalog.candidates(spark.createDataFrame(asked, names), products, slack=50).collect():
+        got.setdefault(r["request_id"], {})[r["position"]] = r["product_id"]
+    got = {k: [v[p] for p in sorted(v)] for k, v in got.items()}
+    ids = lambda keep: [i * 3 for i in range(20_000) if keep(i)]
+    assert got[1] == ids(lambda i: True)[1900:2100] and got[2] == ids(lambda i: i % 2)[:10]
+    assert got[3] == ids(lambda i: i % 3 == 0)[50:150] and got[4] == ids(lambda i: True)[:6] and got[5] == got[4] + [18, 21]
+    assert read["ring", ""] <= 2_100 + 50 and read["red", ""] <= 10 + 50 and read["", ""] <= 6 + 50 and read["blue", ""] <= 8 + 50
