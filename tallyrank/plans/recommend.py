@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyrank.contract import DEFAULT_COLLABORATIVE
 from tallyrank.functions.vectors import cosine
 from tallyrank.operators import catalog, preferences as pref, ranking
+from tallyrank.operators.factors import Factors
 
 # Scores are compared at this many places, so that sums that differ only in the
 # order of addition tie and the product id decides.
@@ -138,6 +139,12 @@ def component_scores(
     ).withColumn("hybrid", F.coalesce("hybrid", F.lit(DEFAULT_COLLABORATIVE)))
 
 
+def learned_scores(requests: DataFrame, catalogue: DataFrame, fitted: Factors) -> DataFrame:
+    """Scores (user_id, product_id, score) of learned factors for the candidates of the requests, to be ``known``."""
+    pairs = catalog.candidates(requests, catalogue).join(requests.select("request_id", "user_id"), "request_id")
+    return fitted.score(pairs.select("user_id", "product_id").distinct())
+
+
 def score_chain(components: DataFrame) -> DataFrame:
     """Adds combined, multi-factor and diversity-adjusted scores."""
     scored = components.withColumn("combined", F.round(ranking.combined_score(), PLACES))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from tallyrank.contract import SEED, TX_KEY
-from tallyrank.functions.numeric import ratio, rounded
-from tallyrank.operators import balancing, boosting, evaluation as ev, isolation, neighbours
+from tallyrank.functions.numeric import rounded
+from tallyrank.operators import balancing, boosting, evaluation as ev, factors, isolation, neighbours
 from tallyrank.operators.preferences import user_product_affinity
 from tallyrank.plans import training as tr
 from tallyrank.registry.base import query
@@ -370,18 +369,20 @@ def reload_and_evaluate(spark, root):
 def als_scores(spark, root):
     """Implicit-feedback factors on user and product, scaled into [0, 1]."""
     affinity = user_product_affinity(tables.valid_interactions(spark, root))
-    als = ALS(userCol="user_id", itemCol="product_id", ratingCol="affinity", implicitPrefs=True,
-              rank=10, maxIter=5, seed=SEED, coldStartStrategy="drop")
-    scored = als.fit(affinity).transform(affinity)
-    bounds = scored.agg(
-        F.struct(F.min("prediction").alias("low"), F.max("prediction").alias("high")).alias("b")
-    ).scalar()
-    return scored.select(
-        "user_id", "product_id",
-        rounded(ratio(F.col("prediction") - bounds["low"], bounds["high"] - bounds["low"])).alias(
-            "score"
-        ),
-    )
+    scored = factors.fit_factors(affinity).score(affinity)
+    return scored.withColumn("score", rounded("score"))
+
+
+@query("als_fold_in", with_views("inter", """
+  SELECT user_id, count(DISTINCT product_id) AS products, true AS equal FROM inter GROUP BY user_id HAVING sum(w) > 0"""))
+def als_fold_in(spark, root):
+    """Users solved anew from their own products, beside the factors of the fit: the last step of a fit."""
+    affinity = user_product_affinity(tables.valid_interactions(spark, root))
+    fitted = factors.fit_factors(affinity)
+    again = fitted.fold_in(affinity).withColumnRenamed("u", "again").join(fitted.users, "user_id")
+    apart = F.array_max(F.zip_with("again", "u", lambda a, b: F.abs(a - b)))
+    counts = affinity.groupBy("user_id").agg(F.count("*").alias("products"))
+    return again.join(counts, "user_id").select("user_id", "products", (apart < 1e-3).alias("equal"))
 
 
 @query("stream_score")

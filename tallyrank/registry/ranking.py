@@ -10,7 +10,7 @@ from tallyrank.contract import (
 )
 from tallyrank.functions.numeric import rounded
 from tallyrank.operators import (
-    catalog, popularity, preferences as pref, ranking, ranking_metrics, traffic,
+    catalog, factors, popularity, preferences as pref, ranking, ranking_metrics, traffic,
 )
 from tallyrank.plans import recommend as plan
 from tallyrank.registry.base import query
@@ -417,6 +417,16 @@ def recommend(spark, root):
     )
 
 
+@query("recommend_learned")
+def recommend_learned(spark, root):
+    """Recommendations whose collaborative scores come from learned factors."""
+    inputs = _inputs(spark, root)
+    fitted = factors.fit_factors(pref.user_product_affinity(inputs["feed"]))
+    known = plan.learned_scores(inputs["requests"], inputs["catalogue"], fitted)
+    ranked = plan.recommend(plan.component_scores(**inputs, known=known))
+    return ranked.select("request_id", "user_id", "rank", "product_id", rounded("hybrid").alias("hybrid"), rounded("score").alias("score"))
+
+
 @query("recommendation_log", with_views("ranked", """
   SELECT request_id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY "rank") AS recommended_products,
     string_agg(CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY "rank")
