@@ -96,12 +96,22 @@ def breakdown(final: str) -> Column:
     )
 
 
-def recommendation_log(ranked: DataFrame, score: str) -> DataFrame:
-    """One row per request: product ids and scores in rank order."""
+def recommendation_log(ranked: DataFrame, requests: DataFrame, score: str, debug: bool = False) -> DataFrame:
+    """One row per request: who asked for what, product ids and scores in rank order, and metadata.
+
+    ``ranked`` has the number of ``candidates`` of its request, which is what
+    ``total_products`` says; a request without any has no row.
+    """
     item = F.struct("rank", "product_id", F.col(score).alias("score"))
-    return ranked.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("items")).select(
-        "request_id",
+    lists = ranked.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(item)).alias("items"), F.first("candidates").alias("candidates"))
+    asked = requests.select("request_id", "user_id", "query", "page", "page_size", F.col("image_vec_id").isNotNull().alias("has_image"))
+    facts = {"page": "page", "limit": "page_size", "total_products": "candidates", "has_image": "has_image"}
+    metadata = [x for k, c in facts.items() for x in (F.lit(k), F.col(c).cast("string"))]
+    return lists.join(asked, "request_id").select(
+        "request_id", "user_id", "query",
         F.transform("items", lambda i: i["product_id"]).alias("recommended_products"),
         F.transform("items", lambda i: i["score"]).alias("scores"),
-        F.size("items").alias("total_products"),
+        F.create_map(*metadata, F.lit("debug"), F.lit(str(debug).lower())).alias("metadata"),
+        F.current_timestamp().alias("logged_at"),
     )

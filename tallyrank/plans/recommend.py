@@ -7,7 +7,7 @@ request that serves every window after it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyrank.contract import DEFAULT_COLLABORATIVE
 from tallyrank.functions.vectors import cosine
@@ -155,8 +155,9 @@ def score_chain(components: DataFrame) -> DataFrame:
 
 
 def recommend(components: DataFrame) -> DataFrame:
-    """Ranked items per request; normalised over all candidates, then cut."""
+    """Ranked items per request; normalised over all candidates, whose number stays beside them, then cut."""
     scored = score_chain(components).withColumn("score", ranking.normalized("diverse"))
+    scored = scored.withColumn("candidates", F.count("*").over(W.partitionBy("request_id")))
     return ranking.top_k(scored, "diverse", "page_size")
 
 

@@ -7,6 +7,7 @@ are cut before oversampling so no synthetic row reaches a fold it is scored in.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import cached_property
 from multiprocessing.pool import ThreadPool
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyrank.contract import SEED
 from tallyrank.operators import balancing, boosting, evaluation as ev, isolation, scaling, split
 from tallyrank.session import materialize, scratch_path
+from tallyrank.sources.store import ModelRegistry, model_entries
 
 LABEL = "class"
 BASES = ["logistic_regression", "random_forest", "xgboost", "isolation_forest"]
@@ -339,10 +341,21 @@ class TrainingRun:
 
     @cached_property
     def ensemble(self) -> Ensemble:
+        began = time.monotonic()
         scores = meta_features(self.out_of_fold).persist()
         meta = fit_logistic(scores, scores.count(), self.settings)
         scores.unpersist()
-        return Ensemble(self.bases, meta, self.scaler)
+        fitted = Ensemble(self.bases, meta, self.scaler)
+        self.train_seconds = time.monotonic() - began
+        return fitted
+
+    def register(self, registry: ModelRegistry, metrics: DataFrame, run_id: str) -> None:
+        """Append an entry per model of ``metrics``: rows, settings, feature names and seconds of the fit."""
+        kinds = {m: m for m in BASES} | {"stacking_ensemble": "ensemble"}
+        self.ensemble
+        registry.register(model_entries(
+            metrics, kinds, self.train.count(), self.scaler.features, settings=self.settings.__dict__,
+            train_seconds=self.train_seconds), run_id)
 
     @cached_property
     def stored(self) -> Ensemble:

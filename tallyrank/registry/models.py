@@ -13,8 +13,9 @@ from tallyrank.operators.preferences import user_product_affinity
 from tallyrank.plans import training as tr
 from tallyrank.registry.base import query
 from tallyrank.registry.sql import R, TX_KEY_SQL, div, hash32, with_views
-from tallyrank.session import materialize
+from tallyrank.session import scratch_path
 from tallyrank.sources import tables
+from tallyrank.sources.store import ModelRegistry
 from tallyrank.streaming import flows
 
 ALL = [*tr.BASES, "stacking_ensemble"]
@@ -298,10 +299,13 @@ def training_history(spark, root):
 
 @query("training_summary")
 def training_summary(spark, root):
-    """Headline metrics of all five models on the test rows, stored as a result table."""
+    """Headline metrics of all five models on the test rows, registered with the run and read back."""
     run = _run(spark, root)
-    metrics = ev.compare(ev.evaluate(tr.long_scores(run.test_scores, ALL)))
-    return materialize(metrics.withColumns({c: rounded(c) for c in HEADLINE}), "training-summary")
+    registry = ModelRegistry.at(spark, scratch_path(spark, "models"))
+    run.register(registry, ev.compare(ev.evaluate(tr.long_scores(run.test_scores, ALL))).select("model", *HEADLINE), "training")
+    return registry.latest().select(
+        "model", "kind", "version", "dataset_size", F.size("features").alias("features"), (F.col("train_seconds") > 0).alias("timed"),
+        *[rounded(F.col("metrics")[c]).alias(c) for c in HEADLINE])
 
 
 # Scoring with fitted models.

@@ -12,8 +12,9 @@ from tallyrank.functions.numeric import rounded
 from tallyrank.operators import quality, scaling, split
 from tallyrank.registry.base import query
 from tallyrank.registry.sql import R, TX_KEY_SQL, div, with_views
-from tallyrank.session import materialize
+from tallyrank.session import scratch_path
 from tallyrank.sources import tables
+from tallyrank.sources.store import INTERACTIONS, Store
 
 FEATURES_SQL = '"time", v1, v2, v3, amount'
 
@@ -130,10 +131,14 @@ def interaction_validation(spark, root):
 
 @query("interaction_ingest", with_views("inter", "SELECT event_id, user_id, product_id, kind FROM inter"))
 def interaction_ingest(spark, root):
-    """Good interactions appended to the store, then read from it."""
+    """Good interactions appended to a store, the run tried twice with a failure between, then read from it."""
     checked = quality.validate_interactions(tables.interactions(spark, root))
     good = checked.filter("valid").select("event_id", "user_id", "product_id", "kind")
-    return materialize(good, "interactions")
+    store = Store(spark, scratch_path(spark, "interactions"), INTERACTIONS)
+    store.append(good, "first")
+    store.stage(good)  # a run that ends before it is named
+    store.append(good, "first")
+    return store.read().drop("run_id")
 
 
 @query("batch_size_check", with_views("tx", f"""

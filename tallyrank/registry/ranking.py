@@ -15,8 +15,9 @@ from tallyrank.operators import (
 from tallyrank.plans import recommend as plan
 from tallyrank.registry.base import query
 from tallyrank.registry.sql import R, VIEWS, div, with_views
-from tallyrank.session import materialize
+from tallyrank.session import scratch_path
 from tallyrank.sources import tables
+from tallyrank.sources.store import RECOMMENDATION_LOG, Store
 
 _HALF = "CAST(0.5 AS DOUBLE)"
 
@@ -427,22 +428,30 @@ def recommend_learned(spark, root):
     return ranked.select("request_id", "user_id", "rank", "product_id", rounded("hybrid").alias("hybrid"), rounded("score").alias("score"))
 
 
-@query("recommendation_log", with_views("ranked", """
-  SELECT request_id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY "rank") AS recommended_products,
+@query("recommendation_log", with_views("ranked reqs cand", """
+  SELECT request_id, min(r.user_id) AS user_id, min(r.query) AS query,
+    string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY "rank") AS recommended_products,
     string_agg(CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY "rank")
-      AS score_millionths, CAST(count(*) AS INTEGER) AS total_products
-  FROM ranked GROUP BY request_id"""))
+      AS score_millionths,
+    CAST(any_value(found) AS INTEGER) AS total_products, min(r.page) AS page, count(r.image_vec_id) > 0 AS has_image
+  FROM ranked JOIN reqs r USING (request_id)
+    JOIN (SELECT request_id, count(*) AS found FROM cand GROUP BY request_id) USING (request_id)
+  GROUP BY request_id"""))
 def recommendation_log(spark, root):
-    """Log rows appended to the store and read back, arrays written as text."""
-    log = materialize(ranking.recommendation_log(_ranked(spark, root), "score"), "log")
+    """Log rows appended to a store, the run tried twice, and read back; arrays written as text."""
+    log = Store(spark, scratch_path(spark, "recommendation-log"), RECOMMENDATION_LOG)
+    rows = ranking.recommendation_log(_ranked(spark, root), tables.requests(spark, root), "score")
+    log.append(rows, "first")
+    log.append(rows, "first")
     whole = F.transform("scores", lambda s: F.round(s * 1000000).cast("bigint").cast("string"))
-    return log.select(
-        "request_id",
+    fact = lambda name, kind: F.col("metadata")[name].cast(kind).alias(name)
+    return log.read().select(
+        "request_id", "user_id", "query",
         F.concat_ws(",", F.col("recommended_products").cast("array<string>")).alias(
             "recommended_products"
         ),
         F.concat_ws(",", whole).alias("score_millionths"),
-        "total_products",
+        fact("total_products", "int"), fact("page", "int"), fact("has_image", "boolean"),
     )
 
 
