@@ -25,8 +25,10 @@ WIDTH = 5
 BANDS, ROWS = 32, 4
 #: Coordinates of a signature; four bits of each are its sketch, in four planes of bits.
 COORDINATES = 256
+#: The same of the finer sketches, of the sets that are held against others than hubs.
+FINE = 1024
 #: Members of a bucket that its other members are first held against.
-HUBS = 3
+HUBS = 1
 #: Standard deviations above the mean of a sketch's differences at the least
 #: similarity; about one link in a million is beyond.
 SPREAD = 4.8
@@ -53,6 +55,18 @@ def signature(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
     return least
 
 
+def sketched(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, in planes."""
+    planes = [np.packbits((signature >> np.uint32(p) & np.uint32(1)).astype(np.uint8)) for p in range(4)]
+    return np.concatenate(planes).view(np.int64)
+
+
+def _finer(batches):
+    for batch in batches:
+        found = [sketched(signature(np.frombuffer(x.as_buffer(), np.uint64), FINE)) for x in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "sketch"])
+
+
 def _signed(width: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -67,8 +81,7 @@ def _signed(width: int, bands: int, rows: int):
                 sizes.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(band.view(np.int64))
-                planes = [np.packbits((sig >> np.uint32(p) & np.uint32(1)).astype(np.uint8)) for p in range(4)]
-                sketches.append(np.concatenate(planes).view(np.int64))
+                sketches.append(sketched(sig))
             if ids:
                 def lists(of):
                     ends = np.arange(len(of) + 1, dtype=np.int32) * len(of[0])
@@ -119,15 +132,15 @@ def _confirmed(percent: int):
     return run
 
 
-def _alike(a: str, b: str, percent: int):
+def _alike(a: str, b: str, percent: int, coordinates: int = COORDINATES):
     """Pairs that can still reach the similarity, by what they may share and by sketches.
 
     ``most`` of a side is an upper bound of what it has in common with any other set.
     Four bits of a coordinate differ for 15 of 16 unequal coordinates.
     """
     q = (1 - percent / 100) * 15 / 16
-    most = int(COORDINATES * q + SPREAD * math.sqrt(COORDINATES * q * (1 - q)))
-    words_of_plane = COORDINATES // 64
+    most = int(coordinates * q + SPREAD * math.sqrt(coordinates * q * (1 - q)))
+    words_of_plane = coordinates // 64
     apart = F.lit(0)
     for w in range(words_of_plane):
         unequal = [F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])
@@ -179,7 +192,7 @@ def _listed(batches):
                 ["node", "shingle"])
 
 
-def _across(shared: DataFrame, named: DataFrame, sketch: DataFrame, checker: _Checker) -> tuple[DataFrame, DataFrame]:
+def _across(shared: DataFrame, named: DataFrame, sizes: DataFrame, checker: _Checker) -> tuple[DataFrame, DataFrame]:
     """Pairs of different components in a bucket, but for two of its largest one, and their sets."""
     member = shared.select("key", "node").join(named, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
@@ -193,12 +206,15 @@ def _across(shared: DataFrame, named: DataFrame, sketch: DataFrame, checker: _Ch
     own = held.mapInArrow(_listed, "node long, shingle long").groupBy("shingle").agg(
         F.min("node").alias("node"), F.count("*").alias("sets")).where("sets = 1")
     own = own.groupBy("node").agg(F.count("*").alias("own"))
-    bound = sketch.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-    bound = bound.join(rest.select("node").distinct(), "node").where(100 * F.col("most") >= checker.percent * F.col("n"))
+    bound = sizes.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    bound = bound.where(100 * F.col("most") >= checker.percent * F.col("n"))
+    # Few sets are left, so a finer sketch of each is cheap.
+    fine = held.join(bound.select("node"), "node", "left_semi").mapInArrow(_finer, "node long, sketch array<long>")
+    bound = materialize(bound.join(fine, "node"), "finer")
     rest = rest.join(bound, "node")
     odd, rest = rest.where("component <> main").alias("x"), rest.alias("y")
     cross = odd.join(rest, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-                     & _alike("x", "y", checker.percent))
+                     & _alike("x", "y", checker.percent, FINE))
     return cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), held
 
 
@@ -213,12 +229,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     A null ``doc_id`` takes part; a component of nothing else has a null name and
     its rows are kept.  Other columns of ``docs`` play no part; no rows give none.
 
-    Each bucket of equal band keys first holds its members against its few most
-    central ones (those that share most buckets with others), so a bucket of any size
-    costs its size.  Only members that are then still in another component than most
+    Of buckets of equal band keys with the same members one is kept.  Each first holds
+    its members against its most central one (that shares most buckets with others), so
+    a bucket of any size costs its size.  Only members that are then still in another component than most
     of their bucket are held against the rest of it, unless the shingles that they share
-    with any set there are too few, so no link that a band proposes is lost.  With 32 bands of 4 rows, a pair at the least similarity goes unproposed
-    five times in a million.
+    with any set there are too few or finer sketches tell them apart, so but for one in a
+    million no link that a band proposes is lost.  With 32 bands of 4 rows, a pair at the
+    least similarity goes unproposed five times in a million.
     """
     signs = materialize(signed(docs, width, bands, rows), "signatures")
     one = signs.where("n_shingles > 0").groupBy("class").agg(
@@ -228,7 +245,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     checker = _Checker(docs, nodes, width, percent)
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # Buckets of the same members propose the same pairs: one of them is enough.
+    print_ = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"print_{i}") for i in (1, 2)]
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), *print_).where("size > 1")
+    sizes = sizes.groupBy("size", "print_1", "print_2").agg(F.min("key").alias("key")).select("key", "size")
     shared = materialize(keyed.join(sizes, "key"), "buckets")
     sketch = nodes.select("node", "n", "sketch")
 
@@ -244,7 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     stars = materialize(stars, "stars")
     links = checker.links(stars)
 
-    cross, held = _across(shared, components(links), sketch, checker)
+    cross, held = _across(shared, components(links), nodes.select("node", "n"), checker)
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     links = links.union(checker.links(cross, held))
 
