@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LENGTH = 2048
-CACHED = 400_000
+#: Pieces remembered by a process, in each of two tables, and letters of one: some 20 MB.
+CACHED, CACHED_LETTERS = 60_000, 32
 #: Fixed value: the pieces of a word that the vocabulary's tokenizer encodes by themselves.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Up to this code point, Python lower-cases and composes letters as the tokenizer does.
@@ -54,9 +55,10 @@ class CachedIds(dict):
         if ids is None:
             shown = part.encode().decode("latin-1").translate(SHOWN)
             ids = np.array([t.id for t in self.model(shown)], np.uint32).tobytes()
-            if len(self.parts) >= CACHED:
-                self.parts.clear()
-            self.parts[part] = ids
+            if len(part) <= CACHED_LETTERS:
+                if len(self.parts) >= CACHED:
+                    self.parts.clear()
+                self.parts[part] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -70,9 +72,10 @@ class CachedIds(dict):
             ids = self.part(low[:-1]) + self.part(low[-1])
         else:
             ids = b"".join(map(self.part, self.pieces.findall(low)))
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = ids
+        if len(word) <= CACHED_LETTERS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = ids
         return ids
 
     def ids(self, text: str | None) -> np.ndarray:

@@ -11,15 +11,16 @@ import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CACHED_WORDS = 400_000
+#: Words remembered by a process, and bytes of one: some 15 MB.
+CACHED_WORDS, CACHED_BYTES = 100_000, 32
 
 
 class WordHashes(dict):
-    """Hash of a word, remembered for the first ``CACHED_WORDS`` words a process meets."""
+    """Hash of a word, remembered for the first ``CACHED_WORDS`` short words a process meets."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHED_WORDS:
+        if len(self) < CACHED_WORDS and len(word) <= CACHED_BYTES:
             self[word] = h
         return h
 
