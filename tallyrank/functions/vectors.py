@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def as_doubles(col) -> Column:
@@ -34,3 +36,21 @@ def cosine(a, b, norm_a=None, norm_b=None) -> Column:
 def between(a, b, share) -> Column:
     """The point ``a + share * (b - a)``."""
     return F.zip_with(a, b, lambda x, y: x + share * (y - x))
+
+
+def with_names(df: DataFrame, names: Sequence[str], vec: str = "x") -> DataFrame:
+    """The same rows, ``vec`` knowing the names of its positions; they travel with the column."""
+    return df.withMetadata(vec, {"features": list(names)})
+
+
+def names_of(df: DataFrame, vec: str = "x") -> list[str] | None:
+    """Names of the positions of ``vec``, where it knows them."""
+    return df.schema[vec].metadata.get("features")
+
+
+def assembled(df: DataFrame, names: Sequence[str], vec: str = "x") -> DataFrame:
+    """Adds ``vec`` from columns, found by name whatever their order."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing features: {', '.join(missing)}")
+    return with_names(df.withColumn(vec, F.array(*[F.col(n).cast("double") for n in names])), names, vec)

@@ -49,6 +49,19 @@ def with_rates(counts: DataFrame) -> DataFrame:
     )
 
 
+def class_report(confusion_df: DataFrame) -> DataFrame:
+    """(model, class, precision, recall, f1, support): each class held as the positive one."""
+    tp, fp, fn, tn = (F.col(c) for c in ("true_positives", "false_positives", "false_negatives", "true_negatives"))
+    sides = F.array(
+        F.struct(F.lit(0).alias("class"), tn.alias("hit"), fn.alias("wrong"), fp.alias("lost")),
+        F.struct(F.lit(1).alias("class"), tp.alias("hit"), fp.alias("wrong"), fn.alias("lost")))
+    rows = confusion_df.select("model", F.inline(sides))
+    hit = F.col("hit").cast("double")
+    return rows.select(
+        "model", "class", ratio(hit, F.col("hit") + F.col("wrong")).alias("precision"), ratio(hit, F.col("hit") + F.col("lost")).alias("recall"),
+        ratio(2 * hit, 2 * F.col("hit") + F.col("wrong") + F.col("lost")).alias("f1"), (F.col("hit") + F.col("lost")).alias("support"))
+
+
 def positive_class_report(counts: DataFrame) -> DataFrame:
     tn, fp, fn, tp = [F.col(c) for c in CONFUSION]
     return counts.select(

@@ -7,10 +7,11 @@ be taken from the scan, batch or stream, with no shuffle and the same outcome.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyrank.contract import SEED
 from tallyrank.functions.hashing import key_hash
@@ -42,12 +43,12 @@ class StratifiedSplit:
             raise RuntimeError("fit the split first")
         last = F.lit(len(self.shares))
         out = None
-        for label, points in sorted(self.points.items()):
+        for label, points in sorted(self.points.items(), key=str):
             part = None
             for i in sorted(points):
                 test = at_or_below("_hash", self.keys, points[i])
                 part = F.when(test, F.lit(i)) if part is None else part.when(test, F.lit(i))
-            test = F.col(self.label) == F.lit(label)
+            test = F.col(self.label).eqNullSafe(F.lit(label))
             part = part.otherwise(last)
             out = F.when(test, part) if out is None else out.when(test, part)
         return last if out is None else out.otherwise(last)
@@ -57,6 +58,19 @@ class StratifiedSplit:
         return hashed.withColumn(name, self.part()).drop("_hash")
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Stored with its points, so that any session finds the same parts of the raw rows."""
+        points = [[label, sorted([i, list(p)] for i, p in own.items())] for label, own in (self.points or {}).items()]
+        row = (self.label, self.keys, self.shares, self.seed, json.dumps(points))
+        spark.createDataFrame([row], "label string, keys array<string>, shares array<double>, seed bigint, points string").write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "StratifiedSplit":
+        r = spark.read.parquet(path).first()
+        points = {label: {i: tuple(p) for i, p in own} for label, own in json.loads(r["points"])}
+        return cls(r["label"], r["keys"], r["shares"], r["seed"], points)
+
+
 def train_test_split(
     df: DataFrame, label: str, keys: Sequence[str], test_size: float = 0.2, seed: int = SEED
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import zip_longest
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (
@@ -19,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyrank.contract import SEED
+from tallyrank.functions.vectors import assembled, names_of
 from tallyrank.operators import balancing, boosting, evaluation as ev, isolation, scaling, split
 from tallyrank.session import materialize, scratch_path
 from tallyrank.sources.store import ModelRegistry, model_entries
@@ -125,10 +127,23 @@ class Scaler:
     @classmethod
     def fit(cls, rows: DataFrame) -> "Scaler":
         state = scaling.vector_state(rows).first()["state"]
-        return cls([f"x[{i}]" for i in range(len(state["mean"]))], list(state["mean"]), list(state["scale"]))
+        names = names_of(rows) or [f"x[{i}]" for i in range(len(state["mean"]))]
+        return cls(names, list(state["mean"]), list(state["scale"]))
 
     def apply(self, raw: DataFrame) -> DataFrame:
-        """Raw rows with ``x`` scaled; a row of another number of features stops the job."""
+        """Raw rows with ``x`` scaled.
+
+        Without ``x``, the features are taken from the columns of their names.  An ``x`` that
+        knows other names, or the same in another order, is refused, naming the first one; a
+        row of another number of features stops the job.
+        """
+        if "x" not in raw.columns:
+            raw = assembled(raw, self.features)
+        names = names_of(raw)
+        if names is not None and names != self.features:
+            pairs = zip_longest(names, self.features)
+            at, (got, want) = next((i, p) for i, p in enumerate(pairs) if p[0] != p[1])
+            raise ValueError(f"position {at} of x is {got}, not {want} as the scaler reads it")
         mean, spread = (F.array(*[F.lit(float(v)) for v in values]) for values in (self.mean, self.scale))
         scaled = F.transform("x", lambda v, i: (v - F.get(mean, i)) / F.get(spread, i))
         wrong = F.raise_error(F.lit(f"x does not hold the {len(self.features)} features of the scaler"))
@@ -257,9 +272,13 @@ class TrainingRun:
     def spark(self) -> SparkSession:
         return self.data.sparkSession
 
+    @cached_property
+    def split(self) -> split.StratifiedSplit:
+        return split.StratifiedSplit(LABEL, ["id"], [0.2], self.settings.seed).fit(self.data)
+
     @cached_property
     def parts(self) -> DataFrame:
-        return split.train_test_split(self.data, LABEL, ["id"], 0.2, self.settings.seed)
+        return with_split(self.data, self.split)
 
     @cached_property
     def scaler(self) -> Scaler:
@@ -357,6 +376,11 @@ class TrainingRun:
             metrics, kinds, self.train.count(), self.scaler.features, settings=self.settings.__dict__,
             train_seconds=self.train_seconds), run_id)
 
+    def save(self, path: str) -> None:
+        """The ensemble and the split that chose its test rows, for ``evaluate_stored``."""
+        self.ensemble.save(self.spark, path)
+        self.split.save(self.spark, f"{path}/split")
+
     @cached_property
     def stored(self) -> Ensemble:
         """The ensemble as it is read back from where it was stored."""
@@ -391,6 +415,20 @@ class TrainingRun:
         return materialize(scored, "test-scores")
 
 
+def with_split(raw: DataFrame, fitted: split.StratifiedSplit) -> DataFrame:
+    """Raw rows with ``split`` = test / train by the points of a fitted split."""
+    part = F.when(F.col("_part") == 0, "test").otherwise("train")
+    return fitted.apply(raw, "_part").withColumn("split", part).drop("_part")
+
+
+def evaluate_stored(spark: SparkSession, path: str, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metrics and the report by class of a stored run on its test rows, found again in the raw rows."""
+    test = with_split(raw, split.StratifiedSplit.load(spark, f"{path}/split")).filter(F.col("split") == "test")
+    scored = Ensemble.load(spark, path).score_raw(test).select("id", LABEL, *BASES, "stacking_ensemble")
+    long = long_scores(materialize(scored, "reloaded"), [*BASES, "stacking_ensemble"])
+    return ev.evaluate(long), ev.class_report(ev.confusion(long))
+
+
 def long_scores(scored: DataFrame, names: list[str]) -> DataFrame:
     """(model, y, p) from one column per model, scores as they are."""
     long = scored.unpivot([LABEL], names, "model", "p")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyrank.contract import SEED, TX_KEY
 from tallyrank.functions.numeric import rounded
+from tallyrank.functions.vectors import with_names
 from tallyrank.operators import balancing, boosting, evaluation as ev, factors, isolation, neighbours
 from tallyrank.operators.preferences import user_product_affinity
 from tallyrank.plans import training as tr
@@ -21,10 +22,11 @@ from tallyrank.streaming import flows
 ALL = [*tr.BASES, "stacking_ensemble"]
 HEADLINE = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 K = 5
+FEATURES = [f"e{i}" for i in range(64)]
 
 
 def _rows(spark, root):
-    return tables.vectors(spark, root).withColumnRenamed("vec_id", "id")
+    return with_names(tables.vectors(spark, root).withColumnRenamed("vec_id", "id"), FEATURES)
 
 
 def _run(spark, root) -> tr.TrainingRun:
@@ -343,30 +345,27 @@ def score_single_model(spark, root):
     )
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", with_views("emb", "SELECT vec_id AS id, class, true AS equal, true AS in_range FROM emb"))
 def model_roundtrip(spark, root):
-    """Scores of the fitted ensemble before and after it is stored and loaded."""
+    """Every raw row scored by the fitted ensemble and by the one read back, features taken by their names."""
     run = _run(spark, root)
-    path = tr.save_path(spark, "ensemble")
-    run.ensemble.save(spark, path)
-    again = tr.Ensemble.load(spark, path).score(run.test)
-    before = run.test_scores.select("id", F.col("stacking_ensemble").alias("before"))
-    after = again.select("id", F.col("stacking_ensemble").alias("after"))
+    before = run.ensemble.score_raw(run.data).select("id", "class", F.col("stacking_ensemble").alias("before"))
+    columns = [F.get("x", F.lit(i)).alias(f) for i, f in reversed(list(enumerate(FEATURES)))]
+    after = run.stored.score_raw(run.data.select("id", *columns)).select("id", F.col("stacking_ensemble").alias("after"))
     return before.join(after, "id").select(
-        "id", rounded("before").alias("before"), rounded("after").alias("after"),
-        (F.abs(F.col("before") - F.col("after")) < 1e-9).alias("equal"),
-    )
+        "id", "class", (F.abs(F.col("before") - F.col("after")) < 1e-9).alias("equal"),
+        F.col("after").between(0.0, 1.0).alias("in_range"))
 
 
 @query("reload_and_evaluate")
 def reload_and_evaluate(spark, root):
-    """A stored ensemble evaluated on the test rows found again by the split rule."""
+    """A stored run evaluated by class on its test rows, found again in the raw table by the stored split."""
     run = _run(spark, root)
-    path = tr.save_path(spark, "ensemble")
-    run.ensemble.save(spark, path)
-    scored = tr.Ensemble.load(spark, path).score(run.test)
-    metrics = ev.evaluate(tr.long_scores(scored, ALL))
-    return metrics.withColumns({c: rounded(c) for c in HEADLINE})
+    path = tr.save_path(spark, "run")
+    run.save(path)
+    metrics, report = tr.evaluate_stored(spark, path, _rows(spark, root))
+    out = report.join(metrics.select("model", "roc_auc"), "model")
+    return out.withColumns({c: rounded(c) for c in ("precision", "recall", "f1", "roc_auc")})
 
 
 @query("als_scores")

@@ -253,6 +253,16 @@ def model_registry_latest(spark, root):
         "model", "entries", "version", "dataset_size", *[rounded(F.col("metrics")[c]).alias(c) for c in _HEADLINE])
 
 
+@query("class_report", with_views("counts", " UNION ALL ".join(f"""
+  SELECT model, {c} AS class, {R(div(h, f"{h} + {w}"))} AS "precision", {R(div(h, f"{h} + {l}"))} AS recall,
+    {R(div(f"2 * {h}", f"2 * {h} + {w} + {l}"))} AS f1, {h} + {l} AS support FROM counts"""
+  for c, h, w, l in ((0, "tn", "fn", "fp"), (1, "tp", "fp", "fn")))))
+def class_report(spark, root):
+    """Precision, recall, f1 and support of both classes for every model."""
+    out = ev.class_report(ev.confusion(tables.scores(spark, root)))
+    return out.withColumns({c: rounded(c) for c in ("precision", "recall", "f1")})
+
+
 @query("fraud_metrics", with_views("counts", f"""
   SELECT model, {R(div("tp", "tp + fn"))} AS detection_rate, {R(div("fp", "fp + tn"))} AS false_alarm_rate,
     {R(div("tp", "tp + fp"))} AS positive_precision, tp AS detected, fn AS missed, fp AS false_alarms,

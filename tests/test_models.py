@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyrank.functions.vectors import with_names
 from tallyrank.operators import balancing, isolation
 from tallyrank.operators.neighbours import nearest_neighbours
 from tallyrank.plans import training as tr
@@ -181,3 +182,43 @@ def test_the_scaler_is_stored_and_refuses_other_features(spark, run, points):
     for wrong in ([1.0, 2.0], None):
         with pytest.raises(Exception, match="features of the scaler"):
             scaler.apply(spark.createDataFrame([(1, wrong)], "id long, x array<double>")).collect()
+
+
+def test_features_are_known_by_name(spark, run, frame):
+    named = with_names(frame, ["a", "b", "c", "d"])
+    scaler = tr.Scaler.fit(named)
+    path = scratch_path(spark, "scaler-test")
+    scaler.save(spark, path)
+    scaler = tr.Scaler.load(spark, path)
+    assert scaler.features == ["a", "b", "c", "d"]
+    x = {r["id"]: r["x"] for r in scaler.apply(named).collect()}
+    columns = [F.get("x", F.lit(i)).alias(n) for i, n in ((2, "c"), (0, "a"), (3, "d"), (1, "b"))]
+    assert {r["id"]: r["x"] for r in scaler.apply(frame.select("id", *columns)).collect()} == x
+    with pytest.raises(ValueError, match="position 1 of x is c, not b"):
+        scaler.apply(with_names(frame, ["a", "c", "b", "d"]))
+    with pytest.raises(ValueError, match="missing features: b, d"):
+        scaler.apply(frame.select("id", *columns).drop("b", "d"))
+
+
+def test_a_stored_run_finds_its_test_rows_again(spark, run, frame):
+    path = scratch_path(spark, "run-test")
+    run.save(path)
+    metrics, report = tr.evaluate_stored(spark, path, frame.repartition(5))
+    long = tr.long_scores(run.test_scores, [*tr.BASES, "stacking_ensemble"]).toPandas()
+    for r in report.collect():
+        own = long[long["model"] == r["model"]]
+        hit, actual = (own["p"] > 0.5) == (r["class"] == 1), own["y"] == r["class"]
+        both = (hit & actual).sum()
+        assert r["support"] == actual.sum() and r["recall"] == pytest.approx(both / actual.sum())
+        assert r["precision"] == pytest.approx(both / hit.sum() if hit.sum() else 0.0)
+    before = {r["model"]: r["roc_auc"] for r in tr.area(run.test_scores, [*tr.BASES, "stacking_ensemble"]).collect()}
+    assert {r["model"]: r["roc_auc"] for r in metrics.collect()} == pytest.approx(before)
+
+
+def test_weights_of_classes_reach_the_fits(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7)], int(i % 5 == 0)) for i in range(100)], "id long, x array<double>, class int")
+    weights = {r["class"]: r["weight"] for r in tr.class_weighted(rows).select("class", "weight").distinct().collect()}
+    assert weights == {0: 100 / 160, 1: 100 / 40}
+    even, fair = (tr.fit_logistic(df, 100, tr.Settings(max_iter=50), w) for df, w in (
+        (tr.with_features(rows), None), (tr.with_features(tr.class_weighted(rows)), "weight")))
+    assert fair.intercept > even.intercept + 0.5

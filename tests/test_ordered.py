@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyrank.operators import ordered, split
+from tallyrank.session import scratch_path
 from tallyrank.operators.ordered import bucket_of, group_percentiles, prefix_sums, rank_brackets, values_at_ranks
 
 
@@ -105,3 +106,14 @@ def test_no_task_orders_more_than_the_slack(spark):
     wanted = spark.createDataFrame([("hot", 150_001)], "g string, need bigint")
     r = rank_brackets(distinct, ["g"], ["g"], "v", "w", wanted, slack=1_000).first()
     assert distinct.filter(F.col("v").between(r["low"], r["high"])).count() <= 1_000
+
+
+def test_a_split_keeps_null_labels_and_can_be_stored(spark):
+    rows = spark.range(600).select("id", F.expr("nullif(cast(id % 3 as int), 2)").alias("y"))
+    fitted = split.StratifiedSplit("y", ["id"], [0.25], 5).fit(rows)
+    path = scratch_path(spark, "split-test")
+    fitted.save(spark, path)
+    parts = [s.apply(rows).toPandas() for s in (fitted, split.StratifiedSplit.load(spark, path))]
+    assert parts[0].equals(parts[1])
+    counts = parts[0].groupby("y", dropna=False)["part"].apply(lambda p: (p == 0).sum())
+    assert list(counts) == [50, 50, 50]
