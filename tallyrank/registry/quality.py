@@ -15,6 +15,7 @@ from tallyrank.registry.sql import R, TX_KEY_SQL, div, with_views
 from tallyrank.session import scratch_path
 from tallyrank.sources import tables
 from tallyrank.sources.store import INTERACTIONS, Store
+from tallyrank.sources.transactions import read_checked
 
 FEATURES_SQL = '"time", v1, v2, v3, amount'
 
@@ -24,6 +25,24 @@ def load_transactions(spark, root):
     return tables.transactions(spark, root)
 
 
+@query("load_with_quarantine", with_views("tx", """
+  SELECT order_key, line_no, CASE order_key % 50 WHEN 0 THEN 'value' WHEN 1 THEN 'fields' ELSE 'good' END AS route,
+    CASE WHEN order_key % 50 > 1 THEN amount END AS amount FROM tx"""))
+def load_with_quarantine(spark, root):
+    """Transactions written as CSV, some with a broken value or cut off, and read with those set aside."""
+    fields = ["order_key", "line_no", *TX_FEATURES, TX_LABEL]
+    tx = tables.transactions(spark, root).select(*fields)
+    line = F.concat_ws(",", *[F.when((F.col("order_key") % 50 == 0) & F.lit(f == "v2"), F.lit("n/a")).otherwise(F.col(f).cast("string"))
+                              for f in fields])
+    path = scratch_path(spark, "lines")
+    tx.select(F.when(F.col("order_key") % 50 == 1, F.substring_index(line, ",", 4)).otherwise(line)).write.text(path)
+    good, bad = read_checked(spark, path, tx.schema, header=False)
+    cut = F.split("line", ",")
+    routed = bad.select(cut[0].cast("bigint").alias("order_key"), cut[1].cast("int").alias("line_no"), F.col("reason").alias("route"),
+                        F.lit(None).cast("double").alias("amount"))
+    return good.select("order_key", F.col("line_no").cast("int"), F.lit("good").alias("route"), "amount").union(routed)
+
+
 @query("load_processed", with_views("split", f"SELECT {TX_KEY_SQL}, amount, class, split FROM split"))
 def load_processed(spark, root):
     """Prepared train and test tables, written once by split and read back."""

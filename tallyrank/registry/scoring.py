@@ -380,11 +380,20 @@ _SLOT = "CAST(floor((rn - {k}) * " + str(CHART_POINTS - 1) + " / CAST(total AS D
 
 
 @query("chart_curves", with_views("curve", f"""
+  SELECT model, p AS threshold, {R(div("cn", "nn"))} AS fpr, {R(div("cp", "np"))} AS tpr,
+    {R("cp / (cp + cn)")} AS "precision" FROM curve"""))
+def chart_curves(spark, root):
+    """Every point of both curves of each model."""
+    out = ev.chart_curves(tables.scores(spark, root), DECIMALS)
+    return out.withColumns({c: rounded(c) for c in ("fpr", "tpr", "precision")})
+
+
+@query("chart_curves_thinned", with_views("curve", f"""
   SELECT model, p AS threshold, {R(div("cn", "nn"))} AS fpr, {R(div("cp", "np"))} AS tpr,
     {R("cp / (cp + cn)")} AS "precision" FROM curve
   WHERE total <= {CHART_POINTS} OR rn = 1 OR rn = total
     OR {_SLOT.format(k=1)} <> {_SLOT.format(k=2)}"""))
-def chart_curves(spark, root):
-    """Thinned as its SQL says; ``evaluation.chart_curves`` gives whole curves by default."""
+def chart_curves_thinned(spark, root):
+    """A drawing's worth of points of each model, thinning being asked for."""
     out = ev.chart_curves(tables.scores(spark, root), DECIMALS, CHART_POINTS)
     return out.withColumns({c: rounded(c) for c in ("fpr", "tpr", "precision")})

@@ -57,7 +57,7 @@ def stream_quarantine(spark, root):
 def stream_interactions(spark, root):
     """The feed arrives twice; every interaction is stored once."""
     twice = _feed(spark, root).unionByName(_feed(spark, root))
-    stored = flows.ingest_stream(twice, within="40 days")
+    stored = flows.ingest_stream(twice, within="1 hour")
     return stored.select(
         "event_id", "user_id", "product_id", "kind", F.unix_micros("ts").alias("ts_us")
     )

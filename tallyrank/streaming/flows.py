@@ -17,38 +17,53 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tallyrank.operators.preferences import interaction_weight
 from tallyrank.operators.quality import validate_interactions, validate_records
 from tallyrank.session import scratch_path
+from tallyrank.sources.tables import epoch_micros
 
 LATENESS = "10 minutes"
+STATE = "spark.sql.streaming.stateStore.providerClass"
+# Keeps state off the heap, on the executors' disks, and in the checkpoint folder.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The given table as a stream of files.  Event times become instants."""
+    """The given table as a stream of files.
+
+    Event times without a zone become the instants of UTC, whatever the session's zone.
+    """
     path = os.path.join(root, f"{name}.parquet")
     schema = spark.read.parquet(path).schema
     # A pattern lets the table be one file as well as a folder of files.
     out = spark.readStream.schema(schema).parquet(os.path.join(root, f"{name}.parque[t]"))
     for field in schema:
         if field.dataType.simpleString() == "timestamp_ntz":
-            out = out.withColumn(field.name, F.col(field.name).cast("timestamp"))
+            out = out.withColumn(field.name, F.timestamp_micros(epoch_micros(field.name)))
     return out
 
 
-def run(writer, path: str) -> None:
-    query = (
-        writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    )
+def run(writer, path: str, spark: SparkSession) -> list:
+    """Run a stream to the end of its source; what it reported of each batch."""
+    before = spark.conf.get(STATE, None)
+    spark.conf.set(STATE, ROCKSDB)  # a query takes its settings when it starts
+    try:
+        query = writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE)
+        else:
+            spark.conf.set(STATE, before)
     query.awaitTermination()
+    return query.recentProgress
 
 
-def to_files(stream: DataFrame, name: str, schema_of: DataFrame | None = None) -> DataFrame:
-    """Append the stream to parquet files and return them as a table."""
+def to_files(stream: DataFrame, name: str, progress: list | None = None) -> DataFrame:
+    """Append the stream to parquet files and return them as a table; ``progress`` gets the batches' reports."""
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    run(
-        stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/data"),
-        path,
-    )
-    return spark.read.schema((schema_of or stream).schema).parquet(f"{path}/data")
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/data")
+    reports = run(writer, path, spark)
+    if progress is not None:
+        progress += reports
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
 def to_batches(
@@ -65,7 +80,7 @@ def to_batches(
         if len(outputs) > 1:
             held.unpersist()
 
-    run(stream.writeStream.outputMode(mode).foreachBatch(write), path)
+    run(stream.writeStream.outputMode(mode).foreachBatch(write), path, stream.sparkSession)
     return path
 
 
@@ -87,11 +102,15 @@ def quarantine_stream(stream: DataFrame, features: list[str]) -> tuple[DataFrame
     return read.parquet(f"{path}/good/*"), read.parquet(f"{path}/bad/*")
 
 
-def ingest_stream(stream: DataFrame, key: str = "event_id", within: str = "1 hour") -> DataFrame:
-    """Valid interactions, a repeated key within the delay stored once."""
+def ingest_stream(stream: DataFrame, key: str = "event_id", within: str = "1 hour", progress: list | None = None) -> DataFrame:
+    """Valid interactions, a repeated key within the delay stored once.
+
+    A key is remembered for the delay only, so the state holds the keys of about that
+    long; a row that comes later than the delay after newer ones is dropped.
+    """
     good = validate_interactions(stream).filter("valid").drop("issues", "valid")
     return to_files(
-        good.withWatermark("ts", within).dropDuplicatesWithinWatermark([key]), "stream-interactions"
+        good.withWatermark("ts", within).dropDuplicatesWithinWatermark([key]), "stream-interactions", progress
     )
 
 

@@ -56,3 +56,35 @@ def test_batch_offenders_use_the_limit(spark):
     rows = [(1, START)] * 101 + [(2, START)] * 100
     df = spark.createDataFrame(rows, "user_id long, ts timestamp")
     assert [r["user_id"] for r in rate_limit_offenders(df).collect()] == [1]
+
+
+def test_duplicate_state_holds_the_delay_and_not_the_feed(spark):
+    """Thirty days of events, a batch a day and each again in the next: keys of one batch's last hour stay."""
+    def day(n):
+        return [(n * 1000 + i, START + dt.timedelta(days=n, minutes=14 * i), 5, 9, "click") for i in range(100)]
+
+    batches = []
+    for n in range(30):
+        batches.append(day(n) + day(n)[-3:])
+    progress = []
+    stream = arriving(spark, batches, "event_id long, ts timestamp, user_id long, product_id long, kind string")
+    stored = flows.ingest_stream(stream, progress=progress)
+    assert stored.count() == 3000 and stored.select("event_id").distinct().count() == 3000
+    held = [op["numRowsTotal"] for p in progress for op in p["stateOperators"]]
+    assert held and max(held) <= 210
+    assert any("rocksdb" in k for p in progress for op in p["stateOperators"] for k in op["customMetrics"])
+
+
+def test_event_times_do_not_depend_on_the_session_zone(spark, root):
+    from tallyrank.registry import QUERIES
+
+    def rows(name):
+        return sorted(map(str, QUERIES[name](spark, root).collect()))
+
+    names = ["stream_interactions", "stream_rate_limit"]
+    before, zone = [rows(n) for n in names], spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        assert [rows(n) for n in names] == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
