@@ -210,11 +210,14 @@ def _across(shared: DataFrame, named: DataFrame, sizes: DataFrame, checker: _Che
     bound = bound.where(100 * F.col("most") >= checker.percent * F.col("n"))
     # Few sets are left, so a finer sketch of each is cheap.
     fine = held.join(bound.select("node"), "node", "left_semi").mapInArrow(_finer, "node long, sketch array<long>")
-    bound = materialize(bound.join(fine, "node"), "finer")
+    # A pair is taken in the first of the buckets it meets in.
+    own = rest.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    bound = materialize(bound.join(fine, "node").join(own, "node"), "finer")
     rest = rest.join(bound, "node")
     odd, rest = rest.where("component <> main").alias("x"), rest.alias("y")
     cross = odd.join(rest, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-                     & _alike("x", "y", checker.percent, FINE))
+                     & _alike("x", "y", checker.percent, FINE)
+                     & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))
     return cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), held
 
 
