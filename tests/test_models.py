@@ -222,3 +222,42 @@ def test_weights_of_classes_reach_the_fits(spark):
     even, fair = (tr.fit_logistic(df, 100, tr.Settings(max_iter=50), w) for df, w in (
         (tr.with_features(rows), None), (tr.with_features(tr.class_weighted(rows)), "weight")))
     assert fair.intercept > even.intercept + 0.5
+
+
+FITTED = ["train_isolation_forest", "train_logistic", "train_logistic_l1", "train_random_forest", "train_gbt", "feature_importance",
+          "train_stacking", "ensemble_weights", "oof_scores", "training_report", "training_history", "training_summary",
+          "reload_and_evaluate"]
+
+
+@pytest.mark.parametrize("name", FITTED)
+def test_queries_of_fitted_models_give_sound_rows(spark, run, frame, monkeypatch, name):
+    monkeypatch.setattr(models, "_run", lambda spark, root: run)
+    monkeypatch.setattr(models, "_rows", lambda spark, root: frame)
+    got = getattr(models, name)(spark, "").toPandas()
+    assert len(got) and not got.drop(columns=["held_out_loss", "trees"], errors="ignore").isna().any().any()
+    if name == "train_gbt":
+        kept = got[got["kept"]]
+        assert got["held_out_loss"].min() == kept["held_out_loss"].iloc[-1] and list(got["round"]) == list(range(len(got)))
+    if name in ("oof_scores", "training_report", "training_summary", "reload_and_evaluate"):
+        rates = got[[c for c in got.columns if c in (*tr.BASES, "train_auc", "test_auc", *models.HEADLINE)]]
+        assert ((rates >= 0) & (rates <= 1)).all().all()
+    if name == "training_summary":
+        assert (got["version"] == 1).all() and got["timed"].all() and (got["dataset_size"] == run.train.count()).all()
+    if name == "reload_and_evaluate":
+        assert (got.groupby("model")["support"].sum() == run.test.count()).all()
+
+
+def test_every_query_without_sql_is_named_in_a_test():
+    from tallyrank.registry import ORACLES, QUERIES
+
+    scored = ["score_transactions", "base_model_scores", "score_single_model", "iforest_scores", "stream_score"]
+    assert set(QUERIES) - set(ORACLES) - {*FITTED, *scored} == {"als_scores", "recommend_learned"}
+
+
+@pytest.mark.parametrize("name", ["als_scores", "recommend_learned"])
+def test_learned_scores_lie_between_zero_and_one(spark, root, name):
+    from tallyrank.registry import QUERIES
+
+    got = QUERIES[name](spark, root).toPandas()
+    column = "score" if name == "als_scores" else "hybrid"
+    assert len(got) and got[column].between(0, 1).all()

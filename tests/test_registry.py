@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry_module
@@ -35,3 +39,10 @@ def test_results_do_not_depend_on_partitioning(spark, root, name):
         assert rows() == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_a_missing_library_leaves_the_other_queries():
+    """Hides one library that only the training-data operators use, in a process of its own."""
+    hidden = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", hidden], capture_output=True, text=True, cwd=os.path.dirname(entry_module.__file__), check=True)
+    assert out.stdout.split()[-2:] == [str(len(QUERIES)), str(len(ORACLES))]
