@@ -43,18 +43,18 @@ def scaler_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def scale(df: DataFrame, features: Sequence[str], state: DataFrame) -> DataFrame:
     """Replace each feature by ``(x - mean) / scale`` with a fitted state.
 
-    The state enters the plan as one scalar subquery, run once.
+    The state is one row of two numbers a feature; it is computed here, once, and its
+    numbers enter the plan as they are.
     """
     absent = [f for f in features if f not in df.columns]
     if absent:
         raise ValueError(f"features absent from the input: {absent}")
-    fitted = state.scalar()
-    return df.withColumns(
-        {
-            f: (F.col(f) - fitted[f"mean_{f}"]) / fitted[f"scale_{f}"]
-            for f in features
-        }
-    )
+    fitted = state.first()["state"]
+
+    def number(name: str) -> Column:
+        return F.lit(fitted[name]).cast("double")
+
+    return df.withColumns({f: (F.col(f) - number(f"mean_{f}")) / number(f"scale_{f}") for f in features})
 
 
 def inference_frame(df: DataFrame, features: Sequence[str], state: DataFrame) -> DataFrame:
