@@ -13,7 +13,7 @@ from tallyrank.operators import balancing, boosting, evaluation as ev, factors,
 from tallyrank.operators.preferences import user_product_affinity
 from tallyrank.plans import training as tr
 from tallyrank.registry.base import query
-from tallyrank.registry.sql import R, TX_KEY_SQL, div, hash32, with_views
+from tallyrank.registry.sql import R, TX_KEY_SQL, hash32, with_views
 from tallyrank.session import scratch_path
 from tallyrank.sources import tables
 from tallyrank.sources.store import ModelRegistry

@@ -261,3 +261,14 @@ def test_learned_scores_lie_between_zero_and_one(spark, root, name):
     got = QUERIES[name](spark, root).toPandas()
     column = "score" if name == "als_scores" else "hybrid"
     assert len(got) and got[column].between(0, 1).all()
+
+
+def test_every_raw_row_scores_alike_after_storage_by_named_columns(spark, frame, points, monkeypatch):
+    names = ["a", "b", "c", "d"]
+    small = tr.Settings(forest_trees=3, forest_depth=3, forest_bins=16, rounds=2, depth=2, isolation_trees=5, isolation_sample=32,
+                        folds=2, max_iter=10)
+    again = tr.TrainingRun(with_names(frame, names), small)
+    monkeypatch.setattr(models, "_run", lambda spark, root: again)
+    monkeypatch.setattr(models, "FEATURES", names)
+    got = models.model_roundtrip(spark, "").toPandas().sort_values("id")
+    assert list(got["id"]) == [i for i, _, _ in points] and got["equal"].all() and got["in_range"].all()

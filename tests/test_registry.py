@@ -14,7 +14,11 @@ def con(root):
     return open_tables(root)
 
 
-@pytest.mark.parametrize("name", list(ORACLES))
+# A whole training run; test_models.py runs it with small settings.
+TRAINED = {"model_roundtrip"}
+
+
+@pytest.mark.parametrize("name", [n for n in ORACLES if n not in TRAINED])
 def test_query_equals_its_sql(spark, con, root, name):
     diff, _ = compare(spark, con, name, QUERIES[name], ORACLES[name], root)
     assert diff is None
