@@ -287,7 +287,7 @@ def _joined(places: list[np.ndarray], chained: np.ndarray, keys: np.ndarray) ->
 
 
 def learn(nodes: DataFrame) -> Field:
-    """The field of at most ``SAMPLE`` documents with nodes, and the first ``SAMPLE_NODES`` nodes of each."""
+    """The field of about ``SAMPLE`` documents with nodes, and the first ``SAMPLE_NODES`` nodes of each."""
     few = nodes.where(F.size("labels") > 0)
     mixed = F.xxhash64("doc_id", "features", "keys")
     # Few rows pass the hash, so that few are sorted wherever they lie.

@@ -217,7 +217,7 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``.  The edited text has the last half of the code points replaced by as
     many of the next document's first ones, by ascending ``doc_id`` (null first, ties by
-    text, the first after the last).  Null texts are empty; an only row follows itself;
+    the texts' compressed bytes, the first after the last).  Null texts are empty; an only row follows itself;
     other columns play no part; no rows give none.
 
     Documents are dealt to ranges of ``doc_id`` of like size, found from quantiles, and a
