@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LENGTH = 2048
-#: Pieces remembered by a process, in each of two tables, and letters of one: some 20 MB.
-CACHED, CACHED_LETTERS = 60_000, 32
+#: Pieces remembered by a process, in each of two tables, and letters of one: some 80 MB.
+CACHED, CACHED_LETTERS = 400_000, 32
 #: Fixed value: the pieces of a word that the vocabulary's tokenizer encodes by themselves.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Up to this code point, Python lower-cases and composes letters as the tokenizer does.
