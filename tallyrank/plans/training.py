@@ -8,7 +8,7 @@ are cut before oversampling so no synthetic row reaches a fold it is scored in.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 from itertools import zip_longest
 from multiprocessing.pool import ThreadPool
@@ -42,6 +42,7 @@ class Settings:
     forest_depth: int = 20
     forest_leaf: int = 5
     forest_bins: int = 256
+    forest_bootstrap: bool = True
     rounds: int = 100
     depth: int = 6
     rate: float = 0.1
@@ -67,10 +68,17 @@ def positive(column: str = "probability") -> Column:
     return vector_to_array(F.col(column))[1]
 
 
-def fit_logistic(balanced: DataFrame, rows: int, s: Settings, weight: str | None = None):
-    """``1 / (C * total weight)`` makes the averaged loss match a summed one."""
+def penalty_of(rows: int, s: Settings) -> tuple[float, float]:
+    """Strength of the penalty and the share of its absolute part.
+
+    ``1 / (C * total weight)`` makes the averaged loss match a summed one.
+    """
     mix = {"l2": 0.0, "l1": 1.0, "elasticnet": s.l1_ratio, "none": 0.0}[s.penalty]
-    strength = 0.0 if s.penalty == "none" else 1.0 / (s.c * max(rows, 1))
+    return 0.0 if s.penalty == "none" else 1.0 / (s.c * max(rows, 1)), mix
+
+
+def fit_logistic(balanced: DataFrame, rows: int, s: Settings, weight: str | None = None):
+    strength, mix = penalty_of(rows, s)
     lr = LogisticRegression(
         labelCol=LABEL, maxIter=s.max_iter, regParam=strength, elasticNetParam=mix,
         standardization=False,
@@ -84,7 +92,7 @@ def fit_forest(balanced: DataFrame, s: Settings, weight: str | None = None):
     rf = RandomForestClassifier(
         labelCol=LABEL, numTrees=s.forest_trees, maxDepth=min(s.forest_depth, 30),
         minInstancesPerNode=s.forest_leaf, featureSubsetStrategy="sqrt", maxBins=s.forest_bins,
-        seed=s.seed,
+        bootstrap=s.forest_bootstrap, seed=s.seed,
     )
     if weight:
         rf = rf.setWeightCol(weight)
@@ -316,9 +324,13 @@ class TrainingRun:
         return fit_logistic(self.balanced, self.balanced_rows, self.settings, "weight")
 
     def logistic_with(self, penalty: str):
-        s = Settings(**{**self.settings.__dict__, "penalty": penalty})
+        s = replace(self.settings, penalty=penalty)
         return fit_logistic(self.balanced, self.balanced_rows, s, "weight")
 
+    def forest_without_bags(self, trees: int):
+        """A forest each tree of which saw all balanced rows, so that its counts can be taken anew."""
+        return fit_forest(self.balanced, replace(self.settings, forest_bootstrap=False, forest_trees=trees), "weight")
+
     @cached_property
     def forest(self):
         return fit_forest(self.balanced, self.settings, "weight")
@@ -402,6 +414,23 @@ class TrainingRun:
             model = type(fitted).load(f"{path}/model")
         return model, Scaler.load(self.spark, f"{path}/scaler")
 
+    @cached_property
+    def single_scores(self) -> DataFrame:
+        """(id, model, p): every raw row through each base model alone, as it is read back, written once."""
+        out = None
+        for name in BASES:
+            model, scaler = self.stored_base(name)
+            rows = scaler.apply(self.data).select("id", "x")
+            if name == "xgboost":
+                p, scored = model.probability(), rows
+            elif name == "isolation_forest":
+                p, scored = model.probability("_raw"), model.score(rows, "_raw")
+            else:
+                p, scored = positive(), model.transform(with_features(rows))
+            one = scored.select("id", F.lit(name).alias("model"), p.alias("p"))
+            out = one if out is None else out.unionByName(one)
+        return materialize(out, "single-scores")
+
     @cached_property
     def all_scores(self) -> DataFrame:
         """Every raw row with all five scores of the stored ensemble, written once."""

@@ -328,21 +328,19 @@ def score_transactions(spark, root):
 
 @query("base_model_scores")
 def base_model_scores(spark, root):
-    scored = _run(spark, root).all_scores
+    """Every row with the scores of all models, in columns and as one text by name."""
     from tallyrank.operators.scoring import score_map
 
-    out = scored.select("id", *[rounded(c).alias(c) for c in ALL])
-    return out.select("id", *ALL, F.map_values(score_map(ALL)).alias("scores")).drop("scores")
+    out = _run(spark, root).all_scores.select("id", *[rounded(c).alias(c) for c in ALL])
+    return out.withColumn("scores", F.to_json(score_map(ALL)))
 
 
 @query("score_single_model")
 def score_single_model(spark, root):
-    run = _run(spark, root)
-    model, scaler = run.stored_base("logistic_regression")
-    scored = model.transform(tr.with_features(scaler.apply(run.data)))
-    return scored.select(
-        "id", rounded(tr.positive()).alias("p"), F.col("prediction").cast("int").alias("label")
-    )
+    """Every row of the table scored by each stored base model alone."""
+    from tallyrank.functions.risk import hard_label
+
+    return _run(spark, root).single_scores.select("id", "model", rounded("p").alias("p"), hard_label("p").alias("label"))
 
 
 @query("model_roundtrip", with_views("emb", "SELECT vec_id AS id, class, true AS equal, true AS in_range FROM emb"))

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -166,8 +167,18 @@ def test_models_learn_and_the_ensemble_survives_storage(spark, run):
                                   "stream_score"])
 def test_every_row_is_scored_by_the_stored_model(spark, run, points, monkeypatch, name):
     monkeypatch.setattr(models, "_run", lambda spark, root: run)
-    got = getattr(models, name)(spark, "").toPandas().set_index("id").sort_index()
+    got = getattr(models, name)(spark, "").toPandas()
+    if name == "score_single_model":
+        whole = run.all_scores.toPandas().set_index("id")
+        for base in tr.BASES:
+            own = got[got["model"] == base].set_index("id").sort_index()
+            assert list(own.index) == [i for i, _, _ in points]
+            assert np.allclose(own.p, whole.loc[own.index][base], atol=1e-6) and (own.label == (whole.loc[own.index][base] > 0.5)).all()
+        return
+    got = got.set_index("id").sort_index()
     assert list(got.index) == [i for i, _, _ in points]
+    if name == "base_model_scores":
+        assert [json.loads(t) for t in got.scores] == got[models.ALL].to_dict("records")
     if name in ("score_transactions", "stream_score"):
         held = run.test_scores.toPandas().set_index("id").stacking_ensemble
         assert np.allclose(got.loc[held.index].p, held, atol=1e-6)
