@@ -8,23 +8,26 @@ Sequences still open at the end of a task are poured together.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LENGTH = 2048
-#: Pieces remembered by a process, in each of two tables, and letters of one: some 80 MB.
-CACHED, CACHED_LETTERS = 400_000, 32
-#: Fixed value: the pieces of a word that the vocabulary's tokenizer encodes by themselves.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Up to this code point, Python lower-cases and composes letters as the tokenizer does.
+#: Pieces remembered by a process, and letters of one: some 100 MB.
+CACHED, CACHED_LETTERS = 600_000, 32
+#: Bytes of text whose words are told apart at once (one text at least), and tokens written out at once.
+TOGETHER, WRITTEN = 16 << 20, 1 << 20
+#: Up to this code point, Python lower-cases letters as the tokenizer does, and none compose.
 PLAIN = 0x17F
 _tokenizers: dict[str, "CachedIds"] = {}
 
@@ -36,52 +39,99 @@ def _shown(byte: int) -> int:
     return 256 + (byte if byte < 33 else byte - 94 if byte < 161 else 67)
 
 
+def _of(category: str) -> str:
+    """The plain characters of a category, for a pattern."""
+    return "".join(re.escape(c) for c in map(chr, range(PLAIN + 1)) if unicodedata.category(c)[0] == category)
+
+
 SHOWN = {byte: _shown(byte) for byte in range(256)}
+#: Fixed value: the pieces of a plain word that the vocabulary's tokenizer encodes by themselves; and blanks.
+PIECES = re.compile(rf"[{_of('L')}]+|[{_of('N')}]| |'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_of('L')}{_of('N')}]+")
+#: Rare letters and control strings, which are left to the whole tokenizer; for Python and for Arrow.
+ODD, ODD_ROW = re.compile(r"[^\x00-\u017f]|<\|"), r"[^\x00-\x{17f}]|<\|"
+#: Stands in for an id between words.
+BLANK = np.uint32(0xFFFFFFFF)
 
 
 class CachedIds(dict):
-    """Ids of a white-space separated piece of text as bytes, remembered for pieces met before."""
+    """Ids of pieces of words as bytes, remembered for pieces met before."""
 
     def __init__(self, path: str):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model.tokenize
-        self.pieces = regex.compile(PIECES)
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, part: str) -> bytes:
-        """Ids of a lower-case piece, by the vocabulary's merges alone."""
-        ids = self.parts.get(part)
-        if ids is None:
-            shown = part.encode().decode("latin-1").translate(SHOWN)
-            ids = np.array([t.id for t in self.model(shown)], np.uint32).tobytes()
-            if len(part) <= CACHED_LETTERS:
-                if len(self.parts) >= CACHED:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
 
-    def __missing__(self, word: str) -> bytes:
-        plain = word if word.isascii() else unicodedata.normalize("NFC", word)
-        if not plain.isprintable() or "<|" in plain or not plain.isascii() and max(plain) > chr(PLAIN):
-            # Rare letters, odd white space and control strings are left to the whole tokenizer.
-            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-        elif (low := plain.lower()).isalpha():
-            ids = self.part(low)
-        elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-            ids = self.part(low[:-1]) + self.part(low[-1])
+    def __missing__(self, piece: str) -> bytes:
+        """Ids of a lower-case piece, by the vocabulary's merges alone, or of an odd word."""
+        if piece.isascii() and piece.isalpha():
+            ids = array("I", [t.id for t in self.model(piece)]).tobytes()
+        elif piece == " ":
+            ids = BLANK.tobytes()
+        elif ODD.search(piece):
+            ids = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
         else:
-            ids = b"".join(map(self.part, self.pieces.findall(low)))
-        if len(word) <= CACHED_LETTERS:
+            shown = piece.encode().decode("latin-1").translate(SHOWN)
+            ids = array("I", [t.id for t in self.model(shown)]).tobytes()
+        if len(piece) <= CACHED_LETTERS:
             if len(self) >= CACHED:
                 self.clear()
-            self[word] = ids
+            self[piece] = ids
         return ids
 
+    def words(self, words: list[str], odd: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, and where those of each begin and how many they are; ``odd``: some may be."""
+        apart = [i for i, w in enumerate(words) if ODD.search(w)] if odd else []
+        whole = [self[words[i]] for i in apart]
+        for i in apart:
+            words[i] = ""
+        pieces = PIECES.findall((" ".join(words) + " ").lower())
+        flat = np.frombuffer(b"".join([*map(self.__getitem__, pieces), *whole]), np.uint32)
+        blanks = np.flatnonzero(flat == BLANK)
+        starts = np.append(0, blanks[:-1] + 1)
+        sizes = blanks - starts
+        if apart:
+            sizes[apart] = [len(ids) // 4 for ids in whole]
+            starts[apart] = blanks[-1] + 1 + np.cumsum(sizes[apart]) - sizes[apart]
+        return flat, starts, sizes
+
+    def texts(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """Ids of each text; white space parts it, and never joins what it parts."""
+        # Taken anew, as Arrow's lower-casing misreads strings that don't begin where their buffer does.
+        texts = pc.fill_null(texts.cast(pa.string()), "").take(pa.array(np.arange(len(texts))))
+        odd = pc.match_substring_regex(texts, ODD_ROW)
+        # An odd text keeps its capitals: they tell control strings, and decide what composes.
+        words = pc.ascii_split_whitespace(pc.if_else(odd, texts, pc.ascii_lower(texts)))
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        words = words.flatten().dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")
+        flat, starts, sizes = self.words(joined[0].as_py().split(" "), pc.any(odd).as_py())
+        which = words.indices.to_numpy()
+        tokens = np.cumsum(sizes[which])
+        first = 0
+        while first < len(ends):
+            # As many texts as have some WRITTEN tokens together.
+            at = int(ends[first - 1]) if first else 0
+            done = int(tokens[at - 1]) if at else 0
+            last = max(first + 1, int(np.searchsorted(tokens[ends - 1], done + WRITTEN)))
+            part = which[at:ends[last - 1]]
+            before = tokens[at:ends[last - 1]] - done
+            n = sizes[part]
+            ids = flat[np.repeat(starts[part] - before + n, n) + np.arange(before[-1])]
+            yield from np.split(ids, before[ends[first:last - 1] - 1 - at])
+            first = last
+
+    def columns(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """Ids of each of many texts, some at a time."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + TOGETHER)))
+            yield from self.texts(texts[first:last])
+            first = last
+
     def ids(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text; white space parts it, and never joins what it parts."""
-        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.__getitem__, filter(None, words))), np.uint32)
+        """Ids of a whole text."""
+        return next(self.texts(pa.array([text], pa.string())))
 
 
 def tokenizer(path: str) -> CachedIds:
@@ -155,8 +205,8 @@ def _packed(path: str, length: int, end: int):
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(encode.ids(text), np.uint32(end))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.columns(batch.column("text"))):
+                ids = np.append(ids, np.uint32(end))
                 whole = len(ids) - len(ids) % length
                 for start in range(0, whole, length):
                     close(fresh(), [(doc_id, start, ids[start:start + length], len(ids))])

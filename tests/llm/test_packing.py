@@ -1,12 +1,15 @@
 """Packing: exact ids, every token in one place, nothing padded."""
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from tallyrank.llm import packing
 from tallyrank.llm.packing import SumOfSquares, packed, tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +31,35 @@ def test_ids_are_the_tokenizers(text):
     assert tokenizer(PATH).ids(text).tolist() == whole(text)
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_ids_of_many_texts_are_the_tokenizers(kind, monkeypatch):
+    for bound, value in (("TOGETHER", 200), ("WRITTEN", 50), ("CACHED", 100)):
+        monkeypatch.setattr(packing, bound, value)
+    rng = random.Random(3)
+    parts = ["a", "B", "the", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", ".", "'S", "1", "É", "e\u0301", "H\u0331", "İ", "Σ", "日本",
+             "<|", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choices(parts[:rng.choice([4, 14, 21])], k=rng.choice([0, 1, 5, 40]))) for _ in range(500)]
+    texts[::50] = [None] * 10
+    ids = [i.tolist() for i in tokenizer(PATH).columns(pa.array(texts, kind))]
+    assert ids == [whole(t or "") for t in texts]
+
+
+def test_a_batch_looks_up_each_distinct_word_once(monkeypatch):
+    class Counted(type(tokenizer(PATH))):
+        asked = 0
+
+        def __getitem__(self, piece):
+            self.asked += piece != " "
+            return super().__getitem__(piece)
+
+    monkeypatch.setitem(packing._tokenizers, PATH, counted := Counted(PATH))
+    texts = [f"Alpha beta gamma, w{i % 10}" for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1000), pa.int64()), "text": texts})
+    rows = [r for out in packing._packed(PATH, 2048, 1)([batch]) for r in out.to_pylist()]
+    assert sum(r["length"] for r in rows) == sum(len(whole(t)) + 1 for t in texts)
+    assert counted.asked <= 3 + 1 + 2 * 10
+
+
 def check(rows, docs, length):
     by_doc, by_sequence = {}, {}
     for r in rows:
