@@ -26,7 +26,7 @@ LENGTH = 2048
 #: Pieces remembered by a process, and letters of one: some 100 MB.
 CACHED, CACHED_LETTERS = 600_000, 32
 #: Bytes of text whose words are told apart at once (one text at least), and tokens written out at once.
-TOGETHER, WRITTEN = 16 << 20, 1 << 20
+TOGETHER, WRITTEN = 8 << 20, 1 << 20
 #: Up to this code point, Python lower-cases letters as the tokenizer does, and none compose.
 PLAIN = 0x17F
 _tokenizers: dict[str, "CachedIds"] = {}
@@ -53,6 +53,22 @@ ODD, ODD_ROW = re.compile(r"[^\x00-\u017f]|<\|"), r"[^\x00-\x{17f}]|<\|"
 BLANK = np.uint32(0xFFFFFFFF)
 
 
+def distinct_words(texts: pa.Array) -> tuple[str, bool, np.ndarray, np.ndarray]:
+    """The distinct words joined by blanks, if any may be odd, which of them come one after the other, and each text's end there.
+
+    A text has one word at least, which may be empty.
+    """
+    # Taken anew, as Arrow's lower-casing misreads strings that don't begin where their buffer does.
+    texts = pc.fill_null(texts.cast(pa.string()), "").take(pa.array(np.arange(len(texts))))
+    odd = pc.match_substring_regex(texts, ODD_ROW)
+    # An odd text keeps its capitals: they tell control strings, and decide what composes.
+    words = pc.ascii_split_whitespace(pc.if_else(odd, texts, pc.ascii_lower(texts)))
+    ends = np.cumsum(pc.list_value_length(words).to_numpy())
+    words = words.flatten().dictionary_encode()
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")
+    return joined[0].as_py(), pc.any(odd).as_py(), words.indices.to_numpy(), ends
+
+
 class CachedIds(dict):
     """Ids of pieces of words as bytes, remembered for pieces met before."""
 
@@ -78,13 +94,17 @@ class CachedIds(dict):
             self[piece] = ids
         return ids
 
-    def words(self, words: list[str], odd: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, joined: str, odd: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words, and where those of each begin and how many they are; ``odd``: some may be."""
-        apart = [i for i, w in enumerate(words) if ODD.search(w)] if odd else []
-        whole = [self[words[i]] for i in apart]
-        for i in apart:
-            words[i] = ""
-        pieces = PIECES.findall((" ".join(words) + " ").lower())
+        apart, whole = [], []
+        if odd:
+            words = joined.split(" ")
+            apart = [i for i, w in enumerate(words) if ODD.search(w)]
+            whole = [self[words[i]] for i in apart]
+            for i in apart:
+                words[i] = ""
+            joined = " ".join(words)
+        pieces = PIECES.findall(joined.lower() + " ")
         flat = np.frombuffer(b"".join([*map(self.__getitem__, pieces), *whole]), np.uint32)
         blanks = np.flatnonzero(flat == BLANK)
         starts = np.append(0, blanks[:-1] + 1)
@@ -94,33 +114,24 @@ class CachedIds(dict):
             starts[apart] = blanks[-1] + 1 + np.cumsum(sizes[apart]) - sizes[apart]
         return flat, starts, sizes
 
-    def texts(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; white space parts it, and never joins what it parts."""
-        # Taken anew, as Arrow's lower-casing misreads strings that don't begin where their buffer does.
-        texts = pc.fill_null(texts.cast(pa.string()), "").take(pa.array(np.arange(len(texts))))
-        odd = pc.match_substring_regex(texts, ODD_ROW)
-        # An odd text keeps its capitals: they tell control strings, and decide what composes.
-        words = pc.ascii_split_whitespace(pc.if_else(odd, texts, pc.ascii_lower(texts)))
-        ends = np.cumsum(pc.list_value_length(words).to_numpy())
-        words = words.flatten().dictionary_encode()
-        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")
-        flat, starts, sizes = self.words(joined[0].as_py().split(" "), pc.any(odd).as_py())
-        which = words.indices.to_numpy()
-        tokens = np.cumsum(sizes[which])
+        joined, odd, which, ends = distinct_words(texts)
+        flat, starts, sizes = self.words(joined, odd)
+        tokens = np.cumsum(np.add.reduceat(sizes[which], np.append(0, ends[:-1])))
         first = 0
         while first < len(ends):
             # As many texts as have some WRITTEN tokens together.
-            at = int(ends[first - 1]) if first else 0
-            done = int(tokens[at - 1]) if at else 0
-            last = max(first + 1, int(np.searchsorted(tokens[ends - 1], done + WRITTEN)))
-            part = which[at:ends[last - 1]]
-            before = tokens[at:ends[last - 1]] - done
+            last = max(first + 1, int(np.searchsorted(tokens, (tokens[first - 1] if first else 0) + WRITTEN)))
+            begin = ends[first - 1] if first else 0
+            part = which[begin:ends[last - 1]]
             n = sizes[part]
-            ids = flat[np.repeat(starts[part] - before + n, n) + np.arange(before[-1])]
-            yield from np.split(ids, before[ends[first:last - 1] - 1 - at])
+            done = np.cumsum(n)
+            ids = flat[np.repeat(starts[part] - done + n, n) + np.arange(done[-1])]
+            yield from np.split(ids, done[ends[first:last - 1] - 1 - begin])
             first = last
 
-    def columns(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+    def columns(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each of many texts, some at a time."""
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
         first = 0
