@@ -61,10 +61,9 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text that loses words is its other words joined by spaces; ``n_chars`` follows.
     A document that loses all of them stays, empty.
     """
-    lost = without_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept"))
-    out = docs.join(lost.dropDuplicates(["doc_id"]), "doc_id", "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
-    chars = F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars"))
+    out = without_repeats(docs, carried=[c for c in docs.columns if c != "text"])
+    out = out.select("n_removed", F.col("kept_text").alias("text"), "carried.*")
+    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars.cast("long")).select(docs.columns)
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyrank.llm import words
 from tallyrank.session import materialize
@@ -26,6 +27,7 @@ SLICE_WORDS = 200_000
 SHARED_TEXTS = 64
 _PACKED = "bucket int, docs binary, counts binary, places binary, hashes binary"
 _FOUND = "doc_id long, found binary"
+_SHAPE = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 _CANDIDATES = "kind int, bucket int, doc_id long, n_words long, kept_sha256 string, docs binary, counts binary, hashes binary"
 
 
@@ -43,14 +45,22 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-def _rows(schema: str, **columns) -> pa.RecordBatch:
+def _rows(schema: str, own: pa.DataType | None = None, **columns) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
+    fields = [(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))]
+    fields += [("carried", own)] if own else []
     n = len(next(iter(columns.values())))
-    arrays = [pa.array(columns.get(name, [None] * n), kinds[kind]) for name, kind in fields]
+    arrays = [pa.array(columns.get(name, [None] * n), kind) for name, kind in fields]
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
+def _carried(batch: pa.RecordBatch) -> tuple[list, pa.DataType | None]:
+    """What each row carries along, and its type; without such a column nothing."""
+    if "carried" not in batch.schema.names:
+        return [None] * batch.num_rows, None
+    return list(batch.column("carried")), batch.schema.field("carried").type
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Differences of whole numbers, byte by byte, so that what shuffles can be compressed."""
     d = np.diff(values, prepend=values.dtype.type(0))
@@ -78,24 +88,25 @@ def _packed(bucket: np.ndarray, doc: np.ndarray, ids: np.ndarray, **values) -> l
 
 
 def _sliced(batches, columns: list[str]):
-    """Lists of rows of about ``SLICE_WORDS`` words."""
-    held, size = [], 0
+    """Lists of rows of about ``SLICE_WORDS`` words, what they carry last, and its type."""
+    held, size, kind = [], 0, None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+        carried, kind = _carried(batch)
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), carried):
             held.append(row)
             size += 1 + len(row[1] or "") // 6
             if size >= SLICE_WORDS:
-                yield held
+                yield held, kind
                 held, size = [], 0
     if held:
-        yield held
+        yield held, kind
 
 
 def _probes(block: int, bits: int):
     def run(batches):
-        for rows in _sliced(batches, ["doc_id", "text"]):
+        for rows, _ in _sliced(batches, ["doc_id", "text"]):
             ids = np.array([r[0] for r in rows], np.int64)
-            found = [words.windows(words.prefix_sums(words.hashes(words.split(t))), block) for _, t in rows]
+            found = [words.windows(words.prefix_sums(words.hashes(words.split(t))), block) for _, t, _ in rows]
             sizes = [len(x) for x in found]
             h = np.concatenate(found)
             if not len(h):
@@ -173,13 +184,16 @@ def _codec(shared: bytes):
 
 
 def _candidates(window: int, block: int, bits: int, shared: bytes):
-    """Documents without hits as they are; of the others the text and the passages around hits."""
+    """Documents without hits as they are; of the others the text and the passages around hits.
+
+    The texts of all go on where rows carry something along.
+    """
 
     def run(batches):
-        pack, unpack = _codec(shared)
-        for rows in _sliced(batches, ["doc_id", "text", "hits"]):
+        _, unpack = _codec(shared)
+        for rows, kind in _sliced(batches, ["doc_id", "text", "hits"]):
             done, held, found, owner = [], [], [], []
-            for doc_id, packed, hits in rows:
+            for doc_id, packed, hits, carried in rows:
                 ws = unpack(packed).split() if packed else []
                 n = len(ws)
                 near = np.zeros(0, np.int64)
@@ -195,12 +209,13 @@ def _candidates(window: int, block: int, bits: int, shared: bytes):
                     h = np.unique(h)
                     owner.append(np.full(len(h), len(held)))
                     found.append(h)
-                    held.append((doc_id, n, pack(b" ".join(ws))))
+                    held.append((doc_id, n, packed, carried))
                 else:
-                    done.append((doc_id, n, _digest(ws)))
+                    done.append((doc_id, n, packed if kind else None, carried, _digest(ws)))
             if done:
-                yield _rows(_CANDIDATES, kind=[0] * len(done), doc_id=[r[0] for r in done],
-                            n_words=[r[1] for r in done], kept_sha256=[r[2] for r in done])
+                yield _rows(_CANDIDATES, kind, kind=[0] * len(done), doc_id=[r[0] for r in done],
+                            n_words=[r[1] for r in done], docs=[r[2] for r in done],
+                            carried=[r[3] for r in done], kept_sha256=[r[4] for r in done])
             if not held:
                 continue
             ids = np.array([r[0] for r in held], np.int64)
@@ -213,11 +228,12 @@ def _candidates(window: int, block: int, bits: int, shared: bytes):
             least = ids[doc[new]][np.cumsum(new) - 1]
             lost = ids[doc] > least
             gone = [h[lost & (doc == i)].tobytes() for i in range(len(held))] if lost.any() else [b""] * len(held)
-            yield _rows(_CANDIDATES, kind=[2] * len(held), doc_id=[r[0] for r in held], n_words=[r[1] for r in held],
-                        docs=[r[2] for r in held], hashes=gone)
+            yield _rows(_CANDIDATES, kind, kind=[2] * len(held), doc_id=[r[0] for r in held],
+                        n_words=[r[1] for r in held], docs=[r[2] for r in held],
+                        carried=[r[3] for r in held], hashes=gone)
             out = _packed((h[new] >> np.uint64(64 - bits)).astype(np.int32), doc[new], ids, hashes=h[new])
-            yield _rows(_CANDIDATES, kind=[1] * len(out), **{k: [r[k] for r in out]
-                                                             for k in ("bucket", "docs", "counts", "hashes")})
+            yield _rows(_CANDIDATES, kind, kind=[1] * len(out), **{k: [r[k] for r in out]
+                                                                   for k in ("bucket", "docs", "counts", "hashes")})
 
     return run
 
@@ -236,10 +252,11 @@ def _kept(window: int, shared: bytes):
     def run(batches):
         _, unpack = _codec(shared)
         for batch in batches:
-            out = []
+            out, (carried, kind) = [], _carried(batch)
             for doc_id, packed, own, others in zip(*(batch.column(c).to_pylist()
                                                      for c in ("doc_id", "docs", "hashes", "others"))):
-                ws = unpack(packed).split()
+                text = unpack(packed)
+                ws = text.split()
                 h = words.windows(words.prefix_sums(words.hashes(ws)), window)
                 gone = np.isin(h, np.frombuffer(own + b"".join(others or []), np.uint64))
                 edge = np.zeros(len(ws) + 1, np.int64)
@@ -247,13 +264,28 @@ def _kept(window: int, shared: bytes):
                 edge[window:window + len(h)] -= gone
                 cover = np.cumsum(edge)[:-1] > 0
                 kept = [w for w, c in zip(ws, cover) if not c]
-                out.append((doc_id, len(ws), len(ws) - len(kept), b" ".join(kept)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
-                 pa.array([r[2] for r in out], pa.int64()),
-                 pa.array([hashlib.sha256(r[3]).hexdigest() for r in out], pa.string()),
-                 pa.array([r[3].decode() for r in out], pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                left = b" ".join(kept)
+                digest = hashlib.sha256(left).hexdigest()
+                if len(kept) == len(ws):
+                    left = text if kind else None
+                out.append((doc_id, len(ws), len(ws) - len(kept), digest, None if left is None else left.decode()))
+            columns = zip(*out) if out else [[]] * 5
+            yield _rows(_SHAPE, kind, carried=carried, **dict(zip(
+                ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"), columns)))
+
+    return run
+
+
+def _same(shared: bytes):
+    """Documents that lose nothing, with their texts unpacked."""
+
+    def run(batches):
+        _, unpack = _codec(shared)
+        for batch in batches:
+            carried, kind = _carried(batch)
+            texts = [None if t is None else unpack(t).decode() for t in batch.column("docs").to_pylist()]
+            known = {c: batch.column(c).to_pylist() for c in ("doc_id", "n_words", "kept_sha256")}
+            yield _rows(_SHAPE, kind, **known, n_removed=[0] * len(texts), kept_text=texts, carried=carried)
 
     return run
 
@@ -262,13 +294,13 @@ def _compressed(shared: bytes):
     def run(batches):
         pack, _ = _codec(shared)
         for batch in batches:
-            texts = [pack(t.encode()) if t else None for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+            texts = [None if t is None else pack(t.encode()) for t in batch.column("text").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
 
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, carried: list[str] | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` for every row of ``docs``.
 
     Every word goes that a run of ``window`` words covers which also starts in a
@@ -278,6 +310,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``doc_id`` is smaller than none and loses nothing; rows of one ``doc_id`` take
     nothing from one another.  Other columns play no part; no rows give none.
 
+    With ``carried``, names of columns, each row brings these of its own along in a
+    struct ``carried``, and ``kept_text`` is its text also where nothing goes; so rows
+    need not be joined with ``docs`` again, which would shuffle all texts once more.
+
     Windows travel in blocks of bounded size, dealt by hash, and a passage that many
     documents of a slice share leaves the slice once.  Hashes have 64 bits.
     """
@@ -285,33 +321,41 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     block = block_words(window)
     bits = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     bits = min(bits, 20)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
+                        *([F.struct(*carried).alias("carried")] if carried else []))
     named = texts.where("doc_id is not null")
+    own = ["carried"] if carried else []
+
+    def shape(ddl: str) -> StructType:
+        out = StructType.fromDDL(ddl)
+        return out.add("carried", texts.schema["carried"].dataType) if carried else out
 
-    probes = named.mapInArrow(_probes(block, bits), _PACKED)
+    probes = named.select("doc_id", "text").mapInArrow(_probes(block, bits), _PACKED)
     hits = probes.groupBy("bucket").applyInArrow(_hits(block), _FOUND)
     hits = hits.groupBy("doc_id").agg(F.collect_list("found").alias("hits"))
     # Texts travel packed, by what a few of them hold.
     few = named.where("text is not null").select(F.substring("text", 1, 2_000)).limit(SHARED_TEXTS).collect()
     shared = "\n".join(r[0] for r in few).encode()
-    packed = named.mapInArrow(_compressed(shared), "doc_id long, text binary").join(hits, "doc_id", "left")
-    split = materialize(packed.mapInArrow(_candidates(window, block, bits, shared), _CANDIDATES), "passages")
+    packed = named.mapInArrow(_compressed(shared), shape("doc_id long, text binary")).join(hits, "doc_id", "left")
+    split = materialize(packed.mapInArrow(_candidates(window, block, bits, shared), shape(_CANDIDATES)), "passages")
 
     lost = split.where("kind = 1").select("bucket", "docs", "counts", "hashes")
     lost = lost.groupBy("bucket").applyInArrow(_lost, _FOUND)
     lost = lost.groupBy("doc_id").agg(F.collect_list("found").alias("others"))
-    held = split.where("kind = 2").select("doc_id", "docs", "hashes").join(lost, "doc_id", "left")
-    shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    held = held.mapInArrow(_kept(window, shared), shape)
+    held = split.where("kind = 2").select("doc_id", "docs", "hashes", *own).join(lost, "doc_id", "left")
+    held = held.mapInArrow(_kept(window, shared), shape(_SHAPE))
     same = split.where("kind = 0").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
-        F.lit(None).cast("string").alias("kept_text"))
-    nameless = texts.where("doc_id is null").mapInArrow(_whole, shape)
-    return same.unionByName(held.withColumn("kept_text", F.when(F.col("n_removed") > 0, F.col("kept_text")))).union(nameless)
+        F.lit(None).cast("string").alias("kept_text"), "docs", *own)
+    same = same.mapInArrow(_same(shared), shape(_SHAPE)) if carried else same.drop("docs")
+    nameless = texts.where("doc_id is null").mapInArrow(_whole, shape(_SHAPE))
+    return same.unionByName(held).union(nameless)
 
 
 def _whole(batches):
     for batch in batches:
-        ws = [words.split(t) for t in batch.column("text").to_pylist()]
-        yield _rows("doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string",
-                    n_words=[len(w) for w in ws], n_removed=[0] * len(ws), kept_sha256=[_digest(w) for w in ws])
+        carried, kind = _carried(batch)
+        texts = batch.column("text").to_pylist()
+        ws = [words.split(t) for t in texts]
+        yield _rows(_SHAPE, kind, n_words=[len(w) for w in ws], n_removed=[0] * len(ws),
+                    kept_sha256=[_digest(w) for w in ws], kept_text=texts if kind else [None] * len(ws), carried=carried)

@@ -46,3 +46,27 @@ def test_stages_keep_what_they_should_with_every_column(spark, tmp_path):
     copies = {r.doc_id: r.doc_tokens for r in pieces}
     assert set(tokens) <= set(texts) - set(range(20)) - {63} and len(tokens) > 30
     assert all(tokens[i] in (n, 2 * n, 3 * n) for i, n in copies.items())
+
+
+def test_removing_repeats_shuffles_no_plain_text_and_keeps_rows_of_one_id_apart(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passage = words(60)
+    tails = ["\t left  as\nit was ", words(7), words(9), None, ""]
+    rows = [(1, f"{tails[0]}{passage}", "a", 5, {"k": [1]}), (2, f"{passage} {tails[1]}", None, 6, None),
+            (2, f"{passage} {tails[2]}", "b", 7, {}), (3, None, "c", 0, {"k": None}), (4, "", "c", 0, {"m": [None, 2]}),
+            (5, " \n", "c", 2, {}), (None, f" {passage}  x", "d", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, n_chars long, more map<string,array<int>>")
+    got = cp.unrepeated(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    wanted = [(i, t, s, n, m) for i, t, s, n, m in rows if i != 2]
+    wanted += [(2, tails[1], None, len(tails[1]), None), (2, tails[2], "b", len(tails[2]), {})]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = cp.unrepeated(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert len(shuffled) == 2, "passages and what others take from them; not the documents once more"

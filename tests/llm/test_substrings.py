@@ -57,3 +57,20 @@ def test_equals_the_plain_form(spark, monkeypatch, name, slice_words):
     got = without_repeats(frame, window=10)
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()]
     assert sorted(got, key=str) == plain(rows, 10)
+
+
+@pytest.mark.parametrize("slice_words", [50, 200_000])
+def test_rows_carry_their_own_columns_and_whole_texts(spark, monkeypatch, slice_words):
+    monkeypatch.setattr(substrings, "SLICE_WORDS", slice_words)
+    rows = [(i, t, k) for k, (i, t) in enumerate(cases()["odd"] + cases()["mixed"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    got = {r.carried.place: r for r in without_repeats(frame, window=10, carried=["place", "doc_id"]).collect()}
+    assert sorted(got) == list(range(len(rows)))
+    for i, t, k in rows:
+        assert (got[k].doc_id, got[k].carried.doc_id) == (i, i)
+        if got[k].n_removed == 0:
+            assert got[k].kept_text == t
+        else:
+            assert hashlib.sha256(got[k].kept_text.encode()).hexdigest() == got[k].kept_sha256
+    digests = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.values()]
+    assert sorted(digests, key=str) == plain([r[:2] for r in rows], 10)
