@@ -52,7 +52,7 @@ class BoostSettings:
 def quantile_edges(rows: DataFrame, bins: int) -> list[np.ndarray]:
     """Ascending cut values of each feature of ``x``, in one aggregate; NaN lies above all cuts."""
     width = rows.agg(F.max(F.size("x"))).first()[0] or 0
-    shares = [i / bins for i in range(1, bins)]
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])  # one for all features, as it takes time to make
     if not width:
         return []
     cuts = rows.agg(*[F.percentile_approx(F.nanvl(F.col("x")[i], F.lit(None).cast("double")), shares, 10 * bins).alias(f"c{i}")

@@ -373,10 +373,14 @@ class TrainingRun:
     @cached_property
     def ensemble(self) -> Ensemble:
         began = time.monotonic()
-        scores = meta_features(self.out_of_fold).persist()
-        meta = fit_logistic(scores, scores.count(), self.settings)
-        scores.unpersist()
-        fitted = Ensemble(self.bases, meta, self.scaler)
+        self.rows  # both threads read them
+        # The models of the whole train part need nothing of the folds', so they are fitted meanwhile.
+        with ThreadPool(1) as pool:
+            bases = pool.apply_async(lambda: self.bases)
+            scores = meta_features(self.out_of_fold).persist()
+            meta = fit_logistic(scores, scores.count(), self.settings)
+            scores.unpersist()
+            fitted = Ensemble(bases.get(), meta, self.scaler)
         self.train_seconds = time.monotonic() - began
         return fitted
 

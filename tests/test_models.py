@@ -1,5 +1,6 @@
 import json
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -152,6 +153,24 @@ def test_every_train_row_is_scored_once_out_of_fold(run):
         assert scored[name].between(0, 1).all()
 
 
+def test_models_of_the_whole_part_are_fitted_while_those_of_the_folds_are(frame, run):
+    began = threading.Event()
+
+    class Watched(tr.TrainingRun):
+        @property
+        def bases(self):
+            began.set()
+            return run.bases
+
+        @property
+        def out_of_fold(self):
+            assert began.wait(20)
+            return run.out_of_fold
+
+    weights = Watched(frame, run.settings).ensemble.weights()
+    assert [w for _, w in weights] == pytest.approx([w for _, w in run.ensemble.weights()])
+
+
 def test_models_learn_and_the_ensemble_survives_storage(spark, run):
     areas = {r["model"]: r["roc_auc"] for r in
              tr.area(run.test_scores, [*tr.BASES, "stacking_ensemble"]).collect()}
