@@ -3,8 +3,9 @@
 Rows are cut into bins once and stay where they are.  Each level of a tree is one
 aggregate: every task sums gradients and curvatures by (node, feature, bin), Spark adds
 the sums up, and the driver picks each node's split from a histogram whose size depends
-on nodes, features and bins only.  Sums are of whole numbers (a fixed point), so they
-don't depend on how rows are dealt.  The loss of the held-out rows comes with the first
+on nodes, features and bins only.  Rows that are one task's worth stay in it for all
+rounds: one job.  Sums are of whole numbers (a fixed point), so they don't depend on how
+rows are dealt.  The loss of the held-out rows comes with the first
 level of the next round; after ``patience`` rounds without a better one training ends
 and the rounds up to the best are kept.
 """
@@ -26,8 +27,8 @@ from tallyrank.session import materialize
 UNIT = 2.0 ** -24
 # Rounds after which rows are written anew with their scores; tasks add up the trees since.
 REFRESH = 8
-# Binned values that are worth a task of their own.
-TASK_VALUES = 4_000_000
+# Binned values that are worth a task of their own: 32 MB in it, some minute of 100 rounds.
+TASK_VALUES = 32_000_000
 NODES = (
     "tree int, node int, feature int, bin int, threshold double, below int, above int, "
     "value double, gain double, cover double"
@@ -223,6 +224,93 @@ def _grown(s: BoostSettings, rnd: int, width: int, most: int, sums):
     return tree, stats, losses
 
 
+class _Held:
+    """The rows of a fit that are one task's worth, and their scores under the trees so far."""
+
+    def __init__(self, s: BoostSettings, width: int, most: int, y, held, mixed, bins: np.ndarray, score):
+        self.s, self.width, self.most = s, width, most
+        self.y, self.held, self.mixed, self.bins, self.score = y, held, mixed, bins, score
+        self.weight = np.where(y > 0, s.positive_weight, 1.0)
+        self.at = np.ones(len(y), np.int64)
+
+    @classmethod
+    def of(cls, batches, s: BoostSettings, width: int, most: int) -> _Held:
+        small = np.uint8 if most <= 256 else np.int16
+        parts = [(b.column("y").to_numpy(), b.column("held").to_numpy(zero_copy_only=False), b.column("mixed").to_numpy(),
+                  _arrays(b.column("bins"), small), b.column("score").to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            parts = [(np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, width), small), np.zeros(0))]
+        y, held, mixed, bins, score = (np.concatenate(c) for c in zip(*parts))
+        return cls(s, width, most, y, held, mixed, np.asfortranarray(bins), score)
+
+    def add(self, tree: _Tree) -> None:
+        self.score = self.score + self.s.rate * tree.value[tree.node(self.bins, self.s.depth)]
+
+    def _units(self, rnd: int) -> None:
+        """Gradients and curvatures of the rows a round uses, all at its root."""
+        score, weight, y = self.score, self.weight, self.y
+        p = 1.0 / (1.0 + np.exp(-score))
+        self.use = np.flatnonzero(~self.held & (_mixed(self.mixed, self.s.seed + rnd) < self.s.row_share))
+        self.g = np.rint(weight * (p - y) / UNIT)[self.use]
+        self.h = np.rint(weight * p * (1.0 - p) / UNIT)[self.use]
+        self.at = np.ones(len(self.use), np.int64)
+
+    def _losses(self) -> dict[int, tuple[float, float]]:
+        lost = np.rint(self.weight * _loss(self.y, self.score) / UNIT).astype(np.int64)
+        units = np.rint(self.weight / UNIT).astype(np.int64)
+        sides = {-1: ~self.held, -2: self.held}
+        return {k: (int(lost[rows].sum()) * UNIT, int(units[rows].sum()) * UNIT) for k, rows in sides.items()}
+
+    def sums(self, rnd: int, level: int, growing: _Tree, used: np.ndarray):
+        """Gradients, curvatures and losses of a level, as ``_Sums.read`` gives them."""
+        nodes, most = 2 ** level, self.most
+        if level == 0:
+            self._units(rnd)
+        else:  # one step down; rows at a node without a split are done
+            f = growing.feature[self.at]
+            down = np.flatnonzero(f >= 0)
+            self.use, self.g, self.h, f, at = self.use[down], self.g[down], self.h[down], f[down], self.at[down]
+            self.at = 2 * at + (self.bins[self.use, f] > growing.cut[at])
+        start = (self.at - nodes) * most
+        out = np.zeros((2, nodes, self.width, most))
+        # Sums of doubles that hold whole numbers are exact below 2 ** 53.
+        exact = len(self.g) * max(np.abs(self.g).max(initial=0.0), self.h.max(initial=0.0)) < 2.0 ** 53
+        for f in used:
+            key = start + self.bins[:, f][self.use]
+            for i, v in enumerate((self.g, self.h)):
+                if exact:
+                    found = np.bincount(key, v, nodes * most)
+                else:
+                    found = np.zeros(nodes * most, np.int64)
+                    np.add.at(found, key, v.astype(np.int64))
+                out[i, :, f] = (found * UNIT).reshape(nodes, most)
+        return out[0], out[1], self._losses() if level == 0 else {}
+
+
+def _best(history: list[tuple[int, float, float | None]]) -> int | None:
+    """The first round of the least held-out loss; None without held-out rows."""
+    best, place = np.inf, None
+    for rnd, _, held in history:
+        if held is not None and held < best:
+            best, place = held, rnd
+    return place
+
+
+def _rounds(s: BoostSettings, grow, add) -> list[tuple[int, float, float | None]]:
+    """Rounds until patience ends; ``grow(round)`` gives a tree and the losses before it, ``add`` keeps it."""
+    history: list[tuple[int, float, float | None]] = []
+    for rnd in range(s.rounds + 1):
+        tree, stats, (train, held) = grow(rnd)
+        history.append((rnd, float(train), None if held is None else float(held)))
+        best = _best(history)
+        if held is not None and best != rnd and rnd - (best or 0) >= s.patience:
+            break
+        if rnd == s.rounds or tree.feature[1] < 0:
+            break
+        add(tree, stats)
+    return history
+
+
 @dataclass
 class BoostedTrees:
     """Fitted trees as a table of nodes, and the losses of every round tried.
@@ -328,29 +416,36 @@ class Booster:
         return g[0], h[0]
 
     def grow(self, rnd: int) -> tuple[_Tree, dict[int, tuple[float, float]], tuple[float, float | None]]:
-        """A tree on the current scores, its nodes' gain and cover, and the losses before it.
+        """A tree on the current scores, its nodes' gain and cover, and the losses before it."""
+        return _grown(self.s, rnd, self.width, self.most, lambda *a: self.sums(rnd, *a))
 
-        Rows that are one task's worth need no aggregates between the levels: the task
-        adds up the same whole numbers and picks the same splits.
+    def rounds_in_one_task(self) -> list[tuple[int, float, float | None]]:
+        """All rounds in the task that holds the rows; the history, and the trees as ``add`` keeps them.
+
+        No job is needed between the levels and rounds: the task adds up the same whole
+        numbers and picks the same splits.
         """
-        if self.tasks > 1:
-            return _grown(self.s, rnd, self.width, self.most, lambda *a: self.sums(rnd, *a))
-        sent, args = self.rows.sparkSession.sparkContext.broadcast(self.pending), (self.s, rnd, self.width, self.most)
+        args = (self.s, self.width, self.most)
 
         def run(batches):
-            held = list(batches)
+            held = _Held.of(batches, *args)
+            trees = []
 
-            def sums(level, growing, used):
-                part = _Sums(args[0], rnd, level, *args[2:], used)
-                for batch in held:
-                    part.add(batch, sent.value, growing)
-                return part.read(part.rows())
+            def grow(rnd):
+                return _grown(args[0], rnd, *args[1:], lambda *a: held.sums(rnd, *a))
 
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_grown(*args, sums))])], ["tree"])
+            def add(tree, stats):
+                trees.append((tree, stats))
+                held.add(tree)
 
-        tree = self.rows.coalesce(1).mapInArrow(run, "tree binary").first()["tree"]
-        sent.destroy()
-        return pickle.loads(tree)
+            history = _rounds(args[0], grow, add)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((trees, history))], pa.binary())], ["fitted"])
+
+        # All of the output is read: a worker that is left before its end is lost to the next job.
+        found = self.rows.coalesce(1).mapInArrow(run, "fitted binary").toArrow().column("fitted").to_pylist()
+        trees, history = pickle.loads(found[0])
+        self.trees, self.gains = [t for t, _ in trees], [g for _, g in trees]
+        return history
 
     def add(self, tree: _Tree, stats: dict[int, tuple[float, float]]) -> None:
         self.trees.append(tree)
@@ -391,19 +486,7 @@ def fit(rows: DataFrame, settings: BoostSettings | None = None, edges: list[np.n
     s = settings or BoostSettings()
     booster = Booster(rows, s, edges, label, task_values)
     history: list[tuple[int, float, float | None]] = []
-    best, best_round = np.inf, 0
-    for rnd in range(s.rounds + 1):
-        if not booster.width:
-            break
-        tree, stats, (train, held) = booster.grow(rnd)
-        history.append((rnd, float(train), None if held is None else float(held)))
-        if held is not None:
-            if held < best:
-                best, best_round = held, rnd
-            elif rnd - best_round >= s.patience:
-                break
-        if rnd == s.rounds or tree.feature[1] < 0:
-            break
-        booster.add(tree, stats)
-    tried = len(booster.trees)
-    return booster.model(best_round if np.isfinite(best) else tried, history)
+    if booster.width:
+        history = booster.rounds_in_one_task() if booster.tasks == 1 else _rounds(s, booster.grow, booster.add)
+    best = _best(history)
+    return booster.model(len(booster.trees) if best is None else best, history)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrank.operators.boosting import BoostedTrees, BoostSettings, equal_edges, fit, split_gains
+from tallyrank.operators.boosting import UNIT, BoostedTrees, BoostSettings, _Held, _Tree, equal_edges, fit, split_gains
 from tallyrank.session import scratch_path
 
 
@@ -120,3 +120,26 @@ def test_weights_move_scores_up_and_odd_tables_fit(spark):
     assert none.rounds == 0 and df.agg(F.max(none.probability())).first()[0] == 0.5
     alike = fit(frame(spark, np.ones((20, 2)), np.arange(20) % 2), BoostSettings(rounds=3))
     assert alike.rounds == 0
+
+
+def test_more_rounds_of_rows_that_one_task_holds_take_no_more_jobs(spark):
+    x, y = data(300)
+    df, sc = frame(spark, x, y), spark.sparkContext
+    edges = equal_edges(x.min(axis=0).tolist(), x.max(axis=0).tolist(), 16)
+
+    def jobs(rounds):
+        sc.setJobGroup(f"boosted-{rounds}", "")
+        model = fit(df, BoostSettings(rounds=rounds, depth=3, bins=16), edges)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert model.rounds == rounds
+        return len(sc.statusTracker().getJobIdsForGroup(f"boosted-{rounds}"))
+
+    assert jobs(20) == jobs(3)
+
+
+def test_sums_too_large_for_doubles_stay_whole_numbers():
+    y = np.arange(300) % 2
+    s = BoostSettings(row_share=1.0, positive_weight=2.0 ** 27 + 1)
+    held = _Held(s, 1, 2, y, np.zeros(300, bool), np.arange(300), np.zeros((300, 1), np.uint8), np.zeros(300))
+    _, h, lost = held.sums(0, 0, _Tree.of(1), np.array([0]))
+    assert h[0, 0, 0] == (150 * ((2 ** 27 + 1) * 2 ** 22) + 150 * 2 ** 22) * UNIT and lost[-2] == (0, 0)
