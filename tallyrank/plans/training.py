@@ -367,8 +367,10 @@ class TrainingRun:
             scored = models.score(held).select("id", LABEL, "fold", *BASES)
             return materialize(scored, f"out-of-fold-{fold}")
 
-        # Folds are independent Spark jobs; threads only submit them.
-        with ThreadPool(self.settings.parallelism) as pool:
+        # Folds are independent Spark jobs; threads only submit them.  More than keep the cores busy
+        # would only hold more plans and models in the driver at once.
+        busy = max(1, self.spark.sparkContext.defaultParallelism // 3)
+        with ThreadPool(min(self.settings.parallelism, busy)) as pool:
             parts = pool.map(one, range(self.settings.folds))
         out = parts[0]
         for part in parts[1:]:
