@@ -41,7 +41,7 @@ def test_trees_keep_their_rules_and_do_not_depend_on_how_rows_lie(spark):
     x, y = data()
     s, path = ForestSettings(trees=3, depth=6, leaf=4, bins=256, seed=7), [scratch_path(spark, f"forest-{i}") for i in range(2)]
     for p, df in zip(path, (frame(spark, x, y), frame(spark, x[::-1], y[::-1]).repartition(7))):
-        fit(df, s, weight="weight").write().save(p)
+        fit(df, s, weight="weight").save(spark, p)
     one, two = (ce.stored_nodes(spark, p).orderBy("tree", "node").collect() for p in path)
     assert one == two and len(one) > 30
     sides = {(r["tree"], r["node"]): r for r in one}
@@ -59,7 +59,7 @@ def test_a_root_takes_the_best_cut_of_all(spark):
     x = x[:, :1]
     model = fit(frame(spark, x, y), ForestSettings(trees=1, depth=1, leaf=10, bins=256, bootstrap=False), weight="weight")
     path = scratch_path(spark, "stump")
-    model.write().save(path)
+    model.save(spark, path)
     root = ce.stored_nodes(spark, path).filter("node = 0").first()
     w = np.where(y > 0, 1.5, 0.75)
     gini = lambda m: 1 - (w[m & (y > 0)].sum() / w[m].sum()) ** 2 - (w[m & (y == 0)].sum() / w[m].sum()) ** 2
@@ -74,16 +74,20 @@ def test_a_root_takes_the_best_cut_of_all(spark):
 
 
 def test_it_tells_classes_apart_as_well_as_that_of_ml(spark):
-    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 
     x, y = data(900)
     df, new = frame(spark, x[:600], y[:600]), frame(spark, x[600:], y[600:])
     own = fit(df, ForestSettings(trees=20, depth=8, bins=32, seed=1), weight="weight")
     ml = RandomForestClassifier(labelCol="class", numTrees=20, maxDepth=8, minInstancesPerNode=5, maxBins=32, seed=1, weightCol="weight").fit(df)
-    right = [m.transform(new).agg(F.avg((F.col("prediction") == F.col("class")).cast("int"))).first()[0] for m in (own, ml)]
+    stored = RandomForestClassificationModel.load(own.path)
+    right = [m.transform(new).agg(F.avg((F.col("prediction") == F.col("class")).cast("int"))).first()[0] for m in (stored, ml)]
     assert right[0] > right[1] - 0.05
-    apart = own.transform(new).select(F.abs(vector_to_array("probability")[0] + vector_to_array("probability")[1] - 1).alias("d"))
-    assert apart.agg(F.max("d")).first()[0] < 1e-9
+    scored = stored.setLeafCol("leaf").transform(new).select(
+        vector_to_array("probability")[1].alias("p"), vector_to_array("leaf").cast("array<int>").alias("leaf"),
+        own.probability().alias("q"), own.leaves().alias("own"))
+    assert scored.filter((F.abs(F.col("p") - F.col("q")) > 1e-9) | (F.col("leaf") != F.col("own"))).count() == 0
+    assert own.featureImportances.toArray() == pytest.approx(stored.featureImportances.toArray(), abs=1e-9)
 
 
 def test_rows_without_all_features_stop_the_fit(spark):
